@@ -114,7 +114,7 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
 
 
 #: Host labels whose pages make up the query's list.
-LISTED_LABELS = ["ads-track", "adult-x", "cheap-pills", "free-bets"]
+LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
 def list_from(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:
