@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 MIN_MATCH, THRESHOLD = 5, 0.8
 BROADCAST_BYTES = 64 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so powers keep all 64 bits
@@ -183,7 +185,7 @@ class Benchmark:
         return sorted(hit), best[1], best[0], best[2]
 
 
-def _columns(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, text_col: str, min_match: int, threshold: float):
+def _columns(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, text_col: str, min_match: int, threshold: float, out: str):
     rows = [(r[0], r[1]) for r in benchmark.select(F.col(item_id).cast("long"), item_text).orderBy(item_id, item_text).collect()]
     sent = docs.sparkSession.sparkContext.broadcast(rows)
     made: list[Benchmark] = []
@@ -194,10 +196,10 @@ def _columns(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str
             made.append(Benchmark(sent.value, min_match, threshold))
         return pd.DataFrame([made[0].decide(t) for t in texts], columns=["item_ids", "best_item", "coverage", "tiles"]).astype({"best_item": "Int64", "tiles": "int32", "coverage": "float64"})
 
-    return docs.withColumn("__tiling", decide(F.col(text_col)))
+    return docs.withColumn(out, decide(F.col(text_col)))
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, text_col: str, min_match: int, threshold: float):
+def _joined(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, text_col: str, min_match: int, threshold: float, out: str):
     """The same decisions for a benchmark of any size."""
 
     @F.pandas_udf("array<long>")
@@ -229,8 +231,9 @@ def _joined(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str,
             out.append((coverage, tiles))
         return pd.DataFrame(out, columns=["coverage", "tiles"]).astype({"tiles": "int32"})
 
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col), F.lit("text")))
-    texts = keyed.groupBy("__key").agg(F.first(text_col).alias("__text"))  # equal texts are tiled once
+    key = unused(docs, "__key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col), F.lit("text")))
+    texts = keyed.select(F.col(key).alias("__key"), F.col(text_col)).groupBy("__key").agg(F.first(text_col).alias("__text"))  # equal texts are tiled once
     items = benchmark.select(F.col(item_id).cast("long").alias("__item"), F.col(item_text).alias("__item_text"))
     left = texts.select("__key", F.explode(seeds("__text")).alias("__seed"))
     right = items.select("__item", F.explode(item_seeds("__item_text")).alias("__seed"))
@@ -240,32 +243,33 @@ def _joined(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str,
     decided = tiled.groupBy("__key").agg(
         F.array_sort(F.collect_list(F.when(F.col("__t.coverage") >= threshold, F.col("__item")))).alias("item_ids"), best.alias("b")
     )
-    decided = decided.select("__key", F.struct("item_ids", F.col("b.__item").alias("best_item"), F.col("b.__t.coverage").alias("coverage"), F.col("b.__t.tiles").alias("tiles")).alias("__tiling"))
-    return keyed.join(decided, "__key", "left").drop("__key")
+    decided = decided.select("__key", F.struct("item_ids", F.col("b.__item").alias("best_item"), F.col("b.__t.coverage").alias("coverage"), F.col("b.__t.tiles").alias("tiles")).alias(out))
+    return keyed.join(decided.withColumnRenamed("__key", key), key, "left").drop(key)
 
 
 def tiled(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    min_match: int = MIN_MATCH, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES,
+    min_match: int = MIN_MATCH, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES, out: str = "tiling",
 ) -> DataFrame:
-    """``docs`` with a struct column ``__tiling`` (item_ids, best_item, coverage, tiles)."""
+    """``docs`` with a struct column ``out`` (item_ids, best_item, coverage, tiles)."""
     size = benchmark.agg(F.sum(F.octet_length(item_text) + 64)).first()[0] or 0
     run = _columns if size <= broadcast_bytes else _joined
-    return run(docs, benchmark, item_id, item_text, text_col, min_match, threshold)
+    return run(docs, benchmark, item_id, item_text, text_col, min_match, threshold, out)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``doc_id, contaminated, item_ids, best_item, coverage, tiles`` for every row."""
     rows = tiled(docs.select(F.col(id_col).alias("doc_id"), F.col(options.get("text_col", "text")).alias("text")), benchmark, **(options | {"text_col": "text"}))
-    items = F.coalesce(F.col("__tiling.item_ids"), F.array().cast("array<bigint>"))
+    items = F.coalesce(F.col("tiling.item_ids"), F.array().cast("array<bigint>"))
     return rows.select(
-        "doc_id", (F.size(items) > 0).alias("contaminated"), items.alias("item_ids"), F.col("__tiling.best_item").alias("best_item"),
-        F.round(F.coalesce(F.col("__tiling.coverage"), F.lit(0.0)), 6).alias("coverage"), F.coalesce(F.col("__tiling.tiles"), F.lit(0)).alias("tiles"),
+        "doc_id", (F.size(items) > 0).alias("contaminated"), items.alias("item_ids"), F.col("tiling.best_item").alias("best_item"),
+        F.round(F.coalesce(F.col("tiling.coverage"), F.lit(0.0)), 6).alias("coverage"), F.coalesce(F.col("tiling.tiles"), F.lit(0)).alias("tiles"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without its contaminated rows; columns unchanged."""
-    rows = tiled(docs, benchmark, **options)
-    hit = F.coalesce(F.size(F.col("__tiling.item_ids")) > 0, F.lit(False))
+    out = unused(docs, "tiling")
+    rows = tiled(docs, benchmark, out=out, **options)
+    hit = F.coalesce(F.size(F.col(f"`{out}`.item_ids")) > 0, F.lit(False))
     return rows.where(~hit).select(*[F.col(f"`{c}`") for c in docs.columns])

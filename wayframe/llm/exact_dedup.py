@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filled
+from .common import checkpointed, filled, unused
 
 #: Surviving keys of 20 bytes that a pruning level may broadcast (40 MB).
 PRUNE_ROWS = 2_000_000
@@ -75,12 +75,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are broadcast while their counted number is bounded, so texts are not
     shuffled; beyond it Spark joins by sorting and splits hot keys.
     """
-    groups = checkpointed(copy_groups(docs, id_col, text_col).select(F.col("sha256").alias("__sha"), F.col("keep_id").alias("__keep")))
+    sha, keep = unused(docs, "__sha"), unused(docs, "__keep")
+    groups = checkpointed(copy_groups(docs, id_col, text_col).select(F.col("sha256").alias(sha), F.col("keep_id").alias(keep)))
     if groups.count() <= prune_rows:
         groups = F.broadcast(groups)
-    marked = docs.withColumn("__sha", F.sha2(filled(text_col), 256))
-    lost = F.col("__keep").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("__keep"))
-    return marked.join(groups, "__sha", "left").where(~lost).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn(sha, F.sha2(filled(text_col), 256))
+    lost = F.col(keep).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(keep))
+    return marked.join(groups, sha, "left").where(~lost).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = """

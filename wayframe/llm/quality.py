@@ -87,7 +87,9 @@ class Network:
         logit, (blocks, owner, counts, vectors, answers, peak, kept, mean, top) = self.forward(texts)
         error = ((1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels) * weights / len(texts)).astype(np.float32)
         out = {"mean": error @ mean, "top": error @ top, "shift": error.sum(keepdims=True)}
-        per_chunk = (error / counts)[owner][:, None] * w["mean"] + np.where((kept == top[owner]) & (kept > 0), error[owner][:, None] * w["top"], 0)
+        winner = kept == top[owner]
+        ties = np.add.reduceat(winner, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0, dtype=np.float32)  # equal chunks share
+        per_chunk = (error / counts)[owner][:, None] * w["mean"] + winner / ties[owner] * error[owner][:, None] * w["top"]
         per_chunk = np.where(peak > 0, per_chunk, 0).astype(np.float32)
         out["bias"] = per_chunk.sum(axis=0)
         # only the winning step of each chunk and filter learns

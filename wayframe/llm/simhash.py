@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, unused
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Distinct fingerprints above which the third block joins the code.
@@ -237,7 +237,8 @@ BROADCAST_IDS = 2_000_000
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with the smallest id of every component only (rows without an id stay); columns unchanged."""
     found = components(docs, id_col, text_col, threshold)
-    gone = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    name = unused(docs, "__gone")
+    gone = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
