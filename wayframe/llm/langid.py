@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 FIT_DOCS, VOCABULARY, ORDERS = 10_000, 100_000, (4, 3, 2, 1)
 #: A document whose best language has less of the probability is rejected in the pipeline.
 MIN_SCORE = 0.5
@@ -152,10 +154,10 @@ def predictor(spark, counts: list[tuple[str, int, str, int]]):
     return predict
 
 
-def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with a struct column ``__lang`` (lang_pred, score), learned from ``train``."""
+def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", out: str = "language", **options) -> DataFrame:
+    """``docs`` with a struct column ``out`` (lang_pred, score), learned from ``train``."""
     counts = fit(train, text_col=text_col, **options)
-    return docs.withColumn("__lang", predictor(docs.sparkSession, counts)(F.col(text_col)))
+    return docs.withColumn(out, predictor(docs.sparkSession, counts)(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -165,10 +167,11 @@ def held_out(id_col: str = "doc_id"):
 def predictions(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``; rows held out are not learned from."""
     rows = identify(docs.select(F.col(id_col).alias("doc_id"), "text"), docs.where(~held_out(id_col)), id_col=id_col, **options)
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score"))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
 def keep_known(docs: DataFrame, train: DataFrame, min_score: float = MIN_SCORE, **options) -> DataFrame:
     """``docs`` without rows whose language is undetermined or scores less than ``min_score``; columns unchanged."""
-    rows = identify(docs, train, **options)
-    return rows.where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = unused(docs, "language")
+    rows = identify(docs, train, out=out, **options)
+    return rows.where((F.col(f"`{out}`.lang_pred") != "und") & (F.col(f"`{out}`.score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
