@@ -827,30 +827,30 @@ def _progress(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = table(spark, d, "events").select(F.col("user_id").alias("vehicle"), (F.unix_micros("ts") / 1e6).alias("observed_at"), F.sum(F.round("value").cast("long")).over(w).cast("double").alias("progress_m"))
     top = rows.agg(F.ceil(F.max("progress_m") / 500).alias("n"))
-    ends = top.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("sector")).select(F.col("sector").cast("int").alias("sector"), ((F.col("sector") - 1) * 500.0).alias("start_m"), (F.col("sector") * 500.0).alias("end_m"))
+    ends = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("sector")).select(F.col("sector").cast("int").alias("sector"), (F.col("sector") * 500.0).alias("start_m"), ((F.col("sector") + 1) * 500.0).alias("end_m"))
     return rows, ends
 
 
-@query(f"WITH {PROGRESS} SELECT vehicle, CAST(nb/500 AS INTEGER) AS sector, round(tx, 2) AS entered_at, round(e - tx, 2) AS duration_s, round(500/(e - tx)*3.6, 4) AS kmh FROM px WHERE nb = bound + 500 AND e > tx")
+@query(f"WITH {PROGRESS} SELECT vehicle, CAST(nb/500 - 1 AS INTEGER) AS sector, round(tx, 2) AS entered_at, round(e - tx, 2) AS duration_s, round(500/(e - tx)*3.6, 4) AS kmh FROM px WHERE nb = bound + 500 AND e > tx")
 def k06_passages(spark, d):
     rows, ends = _progress(spark, d)
     out = bottlenecks.passages_relational(rows, ends, K_POLICY)
     return out.select("vehicle", "sector", F.round("entered_at", 2).alias("entered_at"), F.round("duration_s", 2).alias("duration_s"), r4("kmh").alias("kmh"))
 
 
-@query(f"""WITH {PROGRESS}, ps AS (SELECT CAST(nb/500 AS INTEGER) AS sector, 500/(e - tx)*3.6 AS kmh FROM px WHERE nb = bound + 500 AND e > tx), n AS (SELECT CAST(ceil(MAX(p)/500) AS INTEGER) AS n FROM pr)
-       SELECT sector, CAST(COUNT(*) AS BIGINT) AS passages, CAST(COUNT(*) FILTER (WHERE kmh < 0.01) AS BIGINT) AS slow, round(quantile_cont(kmh, 0.5), 5) AS median_kmh, round(COUNT(*) FILTER (WHERE kmh < 0.01)*100.0/COUNT(*), 3) AS percent, sector = 1 OR sector = (SELECT n FROM n) AS route_end FROM ps GROUP BY 1 HAVING COUNT(*) FILTER (WHERE kmh < 0.01) >= 2""")
+@query(f"""WITH {PROGRESS}, ps AS (SELECT CAST(nb/500 - 1 AS INTEGER) AS sector, 500/(e - tx)*3.6 AS kmh FROM px WHERE nb = bound + 500 AND e > tx), n AS (SELECT CAST(ceil(MAX(p)/500) AS INTEGER) AS n FROM pr)
+       SELECT sector, CAST(COUNT(*) AS BIGINT) AS passages, CAST(COUNT(*) FILTER (WHERE kmh < 0.01) AS BIGINT) AS slow, round(quantile_cont(kmh, 0.5), 5) AS median_kmh, round(COUNT(*) FILTER (WHERE kmh < 0.01)*100.0/COUNT(*), 3) AS percent, sector = 0 OR sector = (SELECT n - 1 FROM n) AS route_end FROM ps GROUP BY 1 HAVING COUNT(*) FILTER (WHERE kmh < 0.01) >= 2""")
 def t23_slow_sectors(spark, d):
     rows, ends = _progress(spark, d)
     policy = BottleneckPolicy(sector_m=500.0, max_gap_s=86_400.0, max_kmh=1.0, slow_kmh=0.01)
     ps = bottlenecks.passages_relational(rows, ends, policy).withColumn("shape_id", F.lit("all"))
-    sectors = ends.crossJoin(F.broadcast(ends.agg(F.max("sector").alias("count")))).withColumn("shape_id", F.lit("all"))
+    sectors = ends.crossJoin(F.broadcast(ends.agg((F.max("sector") + 1).alias("count")))).withColumn("shape_id", F.lit("all"))
     out = bottlenecks.slow_sectors(ps, sectors, 0.0, 1e12, policy)
     return out.select("sector", "passages", "slow", F.round("median_kmh", 5).alias("median_kmh"), F.round("percent", 3).alias("percent"), "route_end")
 
 
-@query("""WITH s AS (SELECT p_partkey AS shape_id, p_retailprice * 3 AS len FROM part), c AS (SELECT *, CAST(GREATEST(floor(len/500) + CASE WHEN len - floor(len/500)*500 >= 250 THEN 1 ELSE 0 END, 1) AS INTEGER) AS n FROM s), x AS (SELECT *, unnest(generate_series(1, n)) AS sector FROM c)
-       SELECT shape_id, CAST(sector AS INTEGER) AS sector, CAST((sector-1)*500.0 AS DOUBLE) AS start_m, round(CASE WHEN sector = n THEN len ELSE sector*500.0 END, 4) AS end_m FROM x""")
+@query("""WITH s AS (SELECT p_partkey AS shape_id, p_retailprice * 3 AS len FROM part), c AS (SELECT *, CAST(GREATEST(floor(len/500) + CASE WHEN len - floor(len/500)*500 >= 250 THEN 1 ELSE 0 END, 1) AS INTEGER) AS n FROM s), x AS (SELECT *, unnest(generate_series(0, n - 1)) AS sector FROM c)
+       SELECT shape_id, CAST(sector AS INTEGER) AS sector, CAST(sector*500.0 AS DOUBLE) AS start_m, round(CASE WHEN sector = n - 1 THEN len ELSE (sector+1)*500.0 END, 4) AS end_m FROM x""")
 def t13_layout(spark, d):
     s = table(spark, d, "part").select(F.col("p_partkey").alias("shape_id"), (F.col("p_retailprice") * 3).alias("length_m"))
     return bottlenecks.layout(s).select("shape_id", "sector", r4("start_m").alias("start_m"), r4("end_m").alias("end_m"))

@@ -253,7 +253,7 @@ def solve_pairs(edges: DataFrame, pairs: DataFrame, restrictions: DataFrame | No
     kinds = dict(edges.dtypes)
     kind = F.col("kind") if "kind" in edges.columns else F.lit("")
     asked = pairs.groupBy("request_id").agg(F.collect_list(F.struct("pair_id", "from_edge", "from_fraction", "to_edge", "to_fraction")).alias("pairs"))
-    rows = edges.select("request_id", "edge_id", "source", "target", F.col(cost).alias("c"), F.col(reverse).alias("r"), F.col("cost").alias("m"), "path", kind.alias("kind"))
+    rows = edges.select("request_id", "edge_id", "source", "target", F.col(cost).alias("c"), F.col(reverse).alias("r"), F.col("cost").alias("m"), F.col("reverse_cost").alias("mr"), "path", kind.alias("kind"))
     rules = edges.select("request_id", F.col("edge_id").alias("from_edge"))
     if restrictions is not None:
         rules = rules.join(restrictions, "from_edge").groupBy("request_id").agg(F.collect_list(F.struct("from_edge", "to_edge", "via")).alias("rules"))
@@ -262,7 +262,7 @@ def solve_pairs(edges: DataFrame, pairs: DataFrame, restrictions: DataFrame | No
         rows = rows.withColumn("rules", F.lit(None).cast("array<struct<from_edge:long,to_edge:long,via:long>>"))
     rows = rows.join(asked, "request_id")
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rules = frame["rules"].iloc[0]
         rules = [(r["from_edge"], r["to_edge"], r["via"]) for r in rules] if rules is not None else []
         graph = build_graph(frame, rules, "c", "r", undirected)
@@ -275,7 +275,7 @@ def solve_pairs(edges: DataFrame, pairs: DataFrame, restrictions: DataFrame | No
             ends = (int(p["from_edge"]), p["from_fraction"]), (int(p["to_edge"]), p["to_fraction"])
             found = graph.route(*ends, policy, directed=not undirected)
             if found is None:
-                plain = plain or build_graph(frame.assign(back=np.where(frame["r"] < 0, -1.0, frame["m"])), rules, "m", "back", undirected)
+                plain = plain or build_graph(frame, rules, "m", "mr", undirected)
                 state = "no_coverage" if plain.route(*ends, policy, directed=not undirected) else "no_path"
                 out.append((p["pair_id"], state, None, [], None))
             else:
@@ -379,12 +379,13 @@ def affected_intervals(route: np.ndarray, cut: np.ndarray, policy: DetourPolicy
 def plan_pairs(fractions: list[float], availability: list[str], interval: tuple[float, float]) -> tuple[list[int], list[tuple[int, int]]]:
     """Stops that a detour of the interval may use, and ordered pairs that skip no required stop.
 
-    The last stop before and the first after the interval that may be kept are its anchors.
+    The last required stop before the interval and the first one after it are its anchors; without one,
+    the first or last stop that may be kept.
     """
     usable = [k for k, a in enumerate(availability) if a != "forced"]
-    before = max((k for k in usable if fractions[k] <= interval[0]), default=None)
-    after = min((k for k in usable if fractions[k] >= interval[1]), default=None)
-    lo, hi = (before if before is not None else usable[0] if usable else 0), (after if after is not None else usable[-1] if usable else -1)
+    firm = [k for k in usable if availability[k] == "required"]
+    lo = max((k for k in firm if fractions[k] <= interval[0]), default=usable[0] if usable else 0)
+    hi = min((k for k in firm if fractions[k] >= interval[1]), default=usable[-1] if usable else -1)
     inside = [k for k in usable if lo <= k <= hi]
     pairs = [(i, j) for x, i in enumerate(inside) for j in inside[x + 1 :] if not any(availability[k] == "required" for k in range(i + 1, j))]
     return inside, pairs
@@ -439,9 +440,9 @@ def plan_detours(requests: DataFrame, edges: DataFrame, restrictions: DataFrame
         plan = _plan(int(key[0]), route, cut, stops, r["criterion"], local, rules, policy)
         return pd.DataFrame([plan], columns=[c.split(" ")[0] for c in PLAN.split(", ")])
 
-    cols = ["request_id", "edge_id", "source", "target", "cost", "reverse_cost", "seconds", "reverse_seconds", "path"]
+    cols = [F.col("request_id").alias("__request"), "edge_id", "source", "target", "cost", "reverse_cost", "seconds", "reverse_seconds", "path"]
     kind = [F.col("kind")] if "kind" in edges.columns else [F.lit("").alias("kind")]
-    return head.groupBy("request_id").cogroup(local.select(*cols, *kind).groupBy("request_id")).applyInPandas(run, PLAN)
+    return head.groupBy("request_id").cogroup(local.select(*cols, *kind).groupBy("__request")).applyInPandas(run, PLAN)
 
 
 def _plan(request, route, cut, stops, criterion, local, rules, policy) -> tuple:

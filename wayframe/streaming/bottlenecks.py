@@ -35,13 +35,13 @@ def sector_ends(length_m: float, nominal_m: float) -> list[float]:
 
 
 def layout(shapes: DataFrame, policy: BottleneckPolicy = BottleneckPolicy()) -> DataFrame:
-    """Sectors of shapes (``shape_id, length_m``): ``shape_id, sector, start_m, end_m``."""
+    """Sectors of shapes (``shape_id, length_m``), numbered from 0: ``shape_id, sector, start_m, end_m, count``."""
     n = F.lit(float(policy.sector_m))
     whole = F.floor(F.col("length_m") / n)
     count = F.greatest(whole + F.when(F.col("length_m") - whole * n >= n / 2, 1).otherwise(0), F.lit(1)).cast("int")
-    rows = shapes.withColumn("count", count).withColumn("sector", F.explode(F.sequence(F.lit(1), F.col("count"))))
-    end = F.when(F.col("sector") == F.col("count"), F.round("length_m", 6)).otherwise(F.col("sector") * n)
-    return rows.select("shape_id", "sector", ((F.col("sector") - 1) * n).alias("start_m"), end.alias("end_m"), "count")
+    rows = shapes.withColumn("count", count).withColumn("sector", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    end = F.when(F.col("sector") == F.col("count") - 1, F.round("length_m", 6)).otherwise((F.col("sector") + 1) * n)
+    return rows.select("shape_id", "sector", (F.col("sector") * n).alias("start_m"), end.alias("end_m"), "count")
 
 
 @F.udf(PATH_TYPE)
@@ -54,7 +54,7 @@ def _between(path, start, end):
 def sector_paths(sectors: DataFrame, shapes: DataFrame) -> DataFrame:
     """Each sector's path by fractions of the length; the last ends at the path's end."""
     rows = sectors.join(shapes.select("shape_id", "path", "length_m"), "shape_id")
-    end = F.when(F.col("sector") == F.col("count"), 1.0).otherwise(F.col("end_m") / F.col("length_m"))
+    end = F.when(F.col("sector") == F.col("count") - 1, 1.0).otherwise(F.col("end_m") / F.col("length_m"))
     return rows.withColumn("path", _between("path", F.col("start_m") / F.col("length_m"), end)).drop("length_m")
 
 
@@ -174,7 +174,7 @@ def measure(rows: list[dict], ends: list[float], policy: BottleneckPolicy = Bott
     def give_up(reason: str) -> None:
         nonlocal pending
         if pending:
-            out.append(("incomplete", reason, pending["sector"] + 1, pending["at"], None, None, None, pending["inner"], pending["gap"], None))
+            out.append(("incomplete", reason, pending["sector"], pending["at"], None, None, None, pending["inner"], pending["gap"], None))
         pending = None
 
     def begin(sector: int, at: float, support: tuple) -> dict | None:
@@ -220,7 +220,7 @@ def measure(rows: list[dict], ends: list[float], policy: BottleneckPolicy = Bott
                 duration, gap = at - pending["at"], max(pending["gap"], seconds, support[1] - support[0])
                 if duration > 0:
                     kmh = (ends[k] - starts[k]) / duration * 3.6
-                    out.append(("passage", None, k + 1, pending["at"], at, duration, kmh, pending["inner"], gap, support == pending["support"]))
+                    out.append(("passage", None, k, pending["at"], at, duration, kmh, pending["inner"], gap, support == pending["support"]))
                     pending = None
                 else:
                     give_up("degenerate_crossing")
@@ -246,7 +246,7 @@ def passages(observed: DataFrame, lengths: DataFrame, policy: BottleneckPolicy =
     """
     kinds = dict(observed.dtypes)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         length = float(frame["length_m"].iloc[0])
         rows = [{"vehicle": r.vehicle, "scope": r.scope, "t": r.observed_at, "candidates": [(c["progress_m"], c["distance_m"]) for c in r.candidates]} for r in frame.itertuples()]
         out = _frame(measure(match(rows, length, policy), sector_ends(length, policy.sector_m), policy))
@@ -324,7 +324,7 @@ def slow_sectors(measured: DataFrame, sectors: DataFrame, from_: float, to: floa
     if box is not None:
         kept = kept.where((F.col("max_lon") >= box[0]) & (F.col("min_lon") <= box[2]) & (F.col("max_lat") >= box[1]) & (F.col("min_lat") <= box[3]))
     out = found.join(kept, ["shape_id", "sector"])
-    return out.withColumns({"percent": F.col("slow") * 100.0 / F.col("passages"), "route_end": (F.col("sector") == 1) | (F.col("sector") == F.col("count"))})
+    return out.withColumns({"percent": F.col("slow") * 100.0 / F.col("passages"), "route_end": (F.col("sector") == 0) | (F.col("sector") == F.col("count") - 1)})
 
 
 def measurement_id(*columns: Column) -> Column:

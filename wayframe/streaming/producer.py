@@ -99,7 +99,7 @@ def produce(observed: DataFrame, captures: DataFrame, lengths: DataFrame, policy
     every = captures.agg(F.array_sort(F.collect_list(F.struct(F.col("capture_id").cast("long").alias("c"), "partial"))).alias("captures"))
     sizes = lengths.agg(F.map_from_entries(F.collect_list(F.struct("shape_id", F.col("length_m").cast("double")))).alias("lengths"))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         listed, known = frame["captures"].iloc[0], dict(frame["lengths"].iloc[0])
         by_capture: dict[int, list[dict]] = {}
         for r in frame.itertuples():
