@@ -757,8 +757,9 @@ def d17_list_lines(spark, d):
 @query()
 def d19_similar_lines(spark, d):
     p = px.route_stops(spark, d).groupBy("route_id").agg(geo.path_points(F.col("stop_seq"), F.col("lon"), F.col("lat")).alias("path")).where(F.size("path") > 1)
-    # compact routes, so that corridors overlap: every coordinate drawn to the middle
-    small = F.transform("path", lambda q: F.struct((-58.45 + (q["lon"] + 58.45) * 0.02).alias("lon"), (-34.6 + (q["lat"] + 34.6) * 0.02).alias("lat")))
+    # compact routes: every point drawn to the route's first one, so that corridors of neighbours overlap
+    first = F.element_at("path", 1)
+    small = F.transform("path", lambda q: F.struct((first["lon"] + (q["lon"] - first["lon"]) * 0.02).alias("lon"), (first["lat"] + (q["lat"] - first["lat"]) * 0.02).alias("lat")))
     return catalog.similar_lines(p.withColumn("path", small), p.withColumn("path", small)).select("route_id", "other_id", "rank", r4("own").alias("own"), r4("theirs").alias("theirs"))
 
 
