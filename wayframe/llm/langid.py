@@ -89,10 +89,14 @@ class Model:
         by_kind: dict[int, dict[str, np.ndarray]] = defaultdict(dict)
         for lang, kind, token, n in counts:
             by_kind[kind].setdefault(token, np.zeros(len(at)))[at[lang]] = n
-        self.known: dict[int, dict[str, np.ndarray]] = {}
+        # every token's log frequencies are one row of a table
+        self.known: dict[int, dict[str, int]] = {}
+        rows = []
         for kind, tokens in by_kind.items():
             total = sum(tokens.values())
-            self.known[kind] = {t: np.log((v + SMOOTHING) / (total + SMOOTHING * len(tokens))) for t, v in tokens.items()}
+            self.known[kind] = {t: len(rows) + k for k, t in enumerate(tokens)}
+            rows += [np.log((v + SMOOTHING) / (total + SMOOTHING * len(tokens))) for v in tokens.values()]
+        self.logs = np.array(rows).reshape(-1, len(at))
         self.table, self.used = np.zeros((1024, len(at)), dtype=np.float32), 1  # row 0: a word without score
         self.most = min(CACHE_WORDS, 40_000_000 // (len(at) + 1))
         model = self
@@ -116,11 +120,11 @@ class Model:
         if not word:
             return None
         if (own := self.known.get(0, {}).get(word)) is not None:
-            return own
+            return self.logs[own]
         for order in ORDERS:
             known = self.known.get(order, {})
             if found := [known[g] for g in grams(word, order) if g in known]:
-                return np.mean(found, axis=0)
+                return np.add.reduce(self.logs[found], axis=0) / len(found)
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
