@@ -40,7 +40,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # likewise
 # weak parts
 MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NAMED_ID = re.compile(r"\b(?:access_key_id|client_id|account_id|key_id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.IGNORECASE | re.ASCII)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:\d{2,5}\b")
 
 Span = tuple[int, int, str]
