@@ -775,7 +775,7 @@ def d20_ranking_page(spark, d):
 
 @query()
 def t08_bunching_fold(spark, d):
-    p, policy = px.positions(spark, d), BunchingPolicy(max_age_s=7200.0, max_skew_s=0.0, radius_m=15.0)
+    p, policy = px.positions(spark, d), BunchingPolicy(max_age_s=7200.0, max_skew_s=0.0)
     c = px.captures(spark, d)
     snaps = bunching.snapshot(c, p, policy).select("capture_id", "vehicle", "scope", "observed_at", "lon", "lat", "speed_mps")
     return bunching.fold_episodes(bunching.key_steps(snaps, bunching.novelty(snaps, c), policy), policy)
