@@ -69,19 +69,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, prune_rows: int) -> tuple[DataFrame, str]:
+    """``docs`` without the rows that are not kept, with their texts' hash if the text is copied, and that column's name."""
+    sha, keep, copied = unused(docs, "__sha"), unused(docs, "__keep"), unused(docs, "__copied")
+    groups = checkpointed(copy_groups(docs, id_col, text_col).select(F.col("sha256").alias(sha), F.col("keep_id").alias(keep)))
+    if groups.count() <= prune_rows:
+        groups = F.broadcast(groups)
+    marked = docs.withColumn(sha, F.sha2(filled(text_col), 256)).join(groups.withColumn(copied, F.col(sha)), sha, "left")
+    lost = F.col(keep).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(keep))
+    return marked.where(~lost).select(*[F.col(f"`{c}`") for c in docs.columns], copied), copied
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prune_rows: int = PRUNE_ROWS) -> DataFrame:
     """``docs`` without the rows that are not kept; columns unchanged.
 
     Groups are broadcast while their counted number is bounded, so texts are not
     shuffled; beyond it Spark joins by sorting and splits hot keys.
     """
-    sha, keep = unused(docs, "__sha"), unused(docs, "__keep")
-    groups = checkpointed(copy_groups(docs, id_col, text_col).select(F.col("sha256").alias(sha), F.col("keep_id").alias(keep)))
-    if groups.count() <= prune_rows:
-        groups = F.broadcast(groups)
-    marked = docs.withColumn(sha, F.sha2(filled(text_col), 256))
-    lost = F.col(keep).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(keep))
-    return marked.join(groups, sha, "left").where(~lost).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked, copied = _marked(docs, id_col, text_col, prune_rows)
+    return marked.drop(copied)
+
+
+def one_per_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prune_rows: int = PRUNE_ROWS) -> DataFrame:
+    """Exactly one row of each text: of the rows that ``drop_copies`` leaves of a group, the least by all columns.
+
+    Differs from ``drop_copies`` where rows repeat an id or have none. All columns must be orderable.
+    """
+    marked, copied = _marked(docs, id_col, text_col, prune_rows)
+    rows = marked.where(F.col(copied).isNotNull()).groupBy(copied).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return marked.where(F.col(copied).isNull()).drop(copied).unionByName(rows.select("row.*"))
 
 
 SQL = """
