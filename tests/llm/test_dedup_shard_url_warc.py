@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from wayframe.llm import exact_dedup, sharding, urlfilter, warc
+from wayframe.llm import common, exact_dedup, sharding, urlfilter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept int, shard string, __x int"
 LONG = "long word " * 20_000
@@ -107,7 +107,7 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("host/"), "id").alias("url"))
     probes = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://host/"), "id").alias("url"))
     assert urlfilter.listed_urls(probes, keys.withColumnRenamed("url", "key")).where("__listed").count() == 5000
-    bloom, blocks = urlfilter.bloom_table(keys, "url", 5000)
+    bloom, blocks = common.bloom_table(keys, ["url"], 5000)
     assert bloom.count() <= blocks
 
 
@@ -159,5 +159,49 @@ def test_warc_round_trip(spark, tmp_path):
     records = warc.read_warc(spark, str(tmp_path))
     rows_ = records.orderBy("record_id").collect()
     assert [r.status for r in rows_] == [200, 304] and bytes(rows_[0].payload) == b"body\r\n\r\nmore"
-    out = warc.resolve_revisits(records.withColumn("digest", F.md5("payload"))).where("record_type = 'revisit'").first()
+    assert [r.digest is not None for r in rows_] == [True, False] and all(r.whole for r in rows_)
+    out = warc.resolve_revisits(records).where("record_type = 'revisit'").first()
     assert out.resolution == "resolved" and out.refers_to == "<urn:1>" and out.headers["server"] == "s"
+
+
+def test_warc_records_are_cut_and_put_together(spark, tmp_path):
+    inner = warc.write_record("response", "http://a.de/in", "2024-01-01T00:00:00Z", b"x\r\n\r\n", "<urn:in>")
+    bodies = [b"HTTP/1.1 200 OK\r\n\r\n" + b for b in (inner + inner, b"", bytes(range(256)) * 20, b"\r\n\r\nWARC/", b"long " * 300_000)]
+    data = b"".join(warc.write_record("response", f"http://a.de/{k}", "2024-01-01T00:00:00Z", b, f"<urn:{k}>") for k, b in enumerate(bodies))
+    assert [r["body"] for r in warc.parse_warc(data)] == bodies and warc.parse_warc(b"") == []
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.write_record("response", f"http://b.de/{k}", "bad date", b, f"<urn:b{k}>")) for k, b in enumerate(bodies)))
+    rows_ = warc.read_warc(spark, str(tmp_path)).collect()
+    assert len(rows_) == 10 and all(r.whole for r in rows_)
+    assert sorted(bytes(r.payload) for r in rows_) == sorted(b.partition(b"\r\n\r\n")[2] for b in bodies * 2)
+
+
+def test_only_full_responses_and_not_modified_revisits_resolve(spark):
+    data = [
+        (1, "response", "http://a.de/", 10, 200, {"etag": "x"}, "d", None, 7), (2, "response", "http://a.de/", 20, 404, {"etag": "x"}, "e", None, 7), (3, "response", "http://a.de/", 20, None, {"etag": "x"}, "e", None, 7),
+        (4, "revisit", "http://a.de/", 30, 304, {"etag": "x"}, None, "http://x/revisit/Server-Not-Modified", 7), (4, "revisit", "http://a.de/", 30, 304, {"etag": "x"}, None, None, 7),
+        (5, "revisit", "http://a.de/", 30, 304, {"etag": "x"}, None, "http://x/revisit/identical-payload-digest", 7), (6, "revisit", "http://a.de/", 30, 200, {"etag": "x"}, None, None, 7),
+        (7, "revisit", "http://a.de/", 5, None, {"etag": "x"}, None, None, 7), (8, "request", "http://a.de/", 40, None, {}, None, None, 7), (9, "revisit", "http://a.de/" + "p" * 100_000, 50, 304, {}, None, None, 7),
+    ]
+    df = spark.createDataFrame(data, "record_id long, record_type string, url string, captured_at long, status int, headers map<string,string>, digest string, profile string, __prior int")
+    got = sorted((r.record_id, r.resolution, r.refers_to) for r in warc.resolve_revisits(df).collect())
+    assert got == [(1, "full", None), (2, "not_full", None), (3, "not_full", None), (4, "resolved", 1), (4, "resolved", 1), (5, "other_profile", None), (6, "other_profile", None), (7, "no_prior", None), (8, "other_type", None), (9, "no_prior", None)]
+
+
+def test_filter_paths_that_shuffle(spark, monkeypatch):
+    listed = spark.createDataFrame([("adult-x.example.org/p",), (None,), ("h.de/other",)], "key string")
+    pages = spark.createDataFrame([(k, u, "x", 1, 2) for k, u in enumerate([*URLS, "http://h.de/" + "x" * 200_000])], "page_id long, url string, w0 string, __block int, __canon int")
+    want = sorted(map(tuple, urlfilter.judge(pages, listed).collect()))
+    assert urlfilter.listed_urls(pages, listed).columns[:5] == pages.columns
+    monkeypatch.setattr(urlfilter, "BROADCAST_LIST", -1)
+    monkeypatch.setattr(common, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, urlfilter.judge(pages, listed).collect())) == want
+
+
+def test_dedup_hashes_survivors_only(spark):
+    docs = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "bb"), (4, "ccc"), (5, None)], "doc_id long, text string")
+    for bound in (0, 100):
+        alive, count = exact_dedup._survivors(docs, "text", 128, bound)
+        hashed, passed, sha = exact_dedup._parts(docs, "text", 128, bound, alive, count)
+        assert count == 1 and sorted(r.doc_id for r in hashed.where(F.col(sha).isNotNull()).collect()) == [1, 2]
+        assert (passed is None) == (bound == 100) and (passed is None or {r.doc_id for r in passed.collect()} >= {4, 5})

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,16 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoints")
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a temporary one is made.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -39,3 +45,45 @@ def unused(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name = f"_{name}"
     return name
+
+
+#: Blocked Bloom filters: bits per key, bits set per key, words of 64 bits per block.
+BITS_PER_KEY, PROBES, WORDS = 16, 6, 8
+#: Blocks of 72 bytes that may be broadcast (36 MB).
+BROADCAST_BLOCKS = 500_000
+
+
+def _block(keys: list[Column], blocks: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(blocks))
+
+
+def _masks(keys: list[Column]) -> list[Column]:
+    """The bits of a key inside its block, as one mask per word."""
+    second = F.xxhash64(*keys, F.lit("bits"))
+    at = [F.shiftrightunsigned(second, 9 * i).bitwiseAND(F.lit(64 * WORDS - 1)) for i in range(PROBES)]
+    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), a.bitwiseAND(F.lit(63)).cast("int")) for a in at]
+    word = [F.shiftright(a, 6) for a in at]
+    none = F.lit(0).cast("long")
+    return [reduce(lambda x, y: x.bitwiseOR(y), [F.when(w == i, b).otherwise(none) for w, b in zip(word, bit)]) for i in range(WORDS)]
+
+
+def bloom_table(keys: DataFrame, columns: list[str], count: int, most_blocks: int | None = None) -> tuple[DataFrame, int]:
+    """The filter of the keys as ``block, w0 .. w7``, and its number of blocks; with fewer blocks than keys need it passes more."""
+    blocks = max(1, min(-(-count * BITS_PER_KEY // (64 * WORDS)), most_blocks or 1 << 62))
+    key = [F.col(c) for c in columns]
+    rows = keys.select(_block(key, blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(key))])
+    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
+
+
+def bloom_hits(rows: DataFrame, columns: list[str], bloom: DataFrame, blocks: int, out: str) -> DataFrame:
+    """``rows`` with a boolean column ``out``: may the key be one of the filter's? Null keys are not."""
+    block, words = unused(rows, "__block"), [unused(rows, f"__w{i}") for i in range(WORDS)]
+    key = [F.col(f"`{c}`") for c in columns]
+    known = reduce(lambda x, y: x & y, [k.isNotNull() for k in key])
+    table = bloom.select(F.col("block").alias(block), *[F.col(f"w{i}").alias(w) for i, w in enumerate(words)])
+    # rows without a key are dealt out, so that they don't meet in one task
+    dealt = [F.col(f"`{name}`") for name, kind in rows.dtypes if "map<" not in kind]
+    placed = rows.withColumn(block, F.when(known, _block(key, blocks)).otherwise(F.pmod(F.xxhash64(*dealt), F.lit(blocks))))
+    found = placed.join(F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table, block, "left")
+    hit = reduce(lambda x, y: x & y, [F.col(w).bitwiseAND(m) == m for w, m in zip(words, _masks(key))])
+    return found.withColumn(out, F.coalesce(hit, F.lit(False)) & known).select(*[F.col(f"`{c}`") for c in rows.columns], out)

@@ -6,22 +6,22 @@ one block; possible hits go to an exact hash join that removes false positives,
 all other URLs skip it. Only DataFrame functions are used.
 
 The filter is broadcast when its size, known from the number of listed URLs, is
-bounded; a larger one is joined by block number. The exact join has a text key and
-leaves skew to Spark's runtime splitting.
+bounded; a larger one is joined by block number. Likewise the list itself, for the
+exact join; a larger one is joined by its text, which leaves skew to Spark's runtime
+splitting.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no rule
-and no canonical form, and is allowed; repeated pages are judged alike; an empty
-list blocks nothing; extra columns are ignored.
+and no canonical form, and is allowed; very long URLs are judged whole; repeated pages
+are judged alike; an empty list blocks nothing, an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bloom_hits, bloom_table, checkpointed, unused
 
 # fixed values: the rules (host, path, verdict)
 RULES = [
@@ -32,10 +32,8 @@ RULES = [
 ]
 #: Query parameters that only track a visit.
 TRACKING = "utm_[^=]*|ref|gclid|fbclid"
-#: Bits of filter per listed URL, bits set per URL, words of 64 bits per block.
-BITS_PER_URL, PROBES, WORDS = 16, 6, 8
-#: Blocks of 72 bytes that may be broadcast (36 MB).
-BROADCAST_BLOCKS = 500_000
+#: Bytes of listed URLs that the exact join may broadcast.
+BROADCAST_LIST = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,42 +64,25 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _masks(key: Column) -> list[Column]:
-    """The bits of a key inside its block, as one mask per word."""
-    second = F.xxhash64(key, F.lit("bits"))
-    at = [F.shiftrightunsigned(second, 9 * i).bitwiseAND(F.lit(64 * WORDS - 1)) for i in range(PROBES)]
-    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), a.bitwiseAND(F.lit(63)).cast("int")) for a in at]
-    word = [F.shiftright(a, 6) for a in at]
-    none = F.lit(0).cast("long")
-    return [reduce(lambda x, y: x.bitwiseOR(y), [F.when(w == i, b).otherwise(none) for w, b in zip(word, bit)]) for i in range(WORDS)]
-
-
-def bloom_table(keys: DataFrame, key: str, count: int) -> tuple[DataFrame, int]:
-    """The filter of the keys as ``block, w0 .. w7``, and its number of blocks."""
-    blocks = max(1, -(-count * BITS_PER_URL // (64 * WORDS)))
-    rows = keys.select(_block(F.col(key), blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(F.col(key)))])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
-
+def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", key_col: str = "key", canon: str = "__canon", out: str = "__listed") -> DataFrame:
+    """``urls`` with the columns ``canon`` and ``out``; ``listed`` has canonical URLs in ``key_col``.
 
-def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", key_col: str = "key") -> DataFrame:
-    """``urls`` with ``__canon`` and ``__listed``; ``listed`` has canonical URLs in ``key_col``."""
-    wanted = checkpointed(listed.select(F.col(key_col).alias("__canon")).where("__canon IS NOT NULL").distinct())
-    count = wanted.count()
-    bloom, blocks = bloom_table(wanted, "__canon", count)
-    bloom = bloom.withColumnRenamed("block", "__block")
-    rows = urls.withColumn("__canon", canonical(F.col(url_col)))
-    rows = rows.withColumn("__block", _block(F.coalesce("__canon", F.lit("")), blocks))
-    rows = rows.join(F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom, "__block", "left")
-    hit = reduce(lambda x, y: x & y, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(F.col("__canon")))])
-    rows = rows.withColumn("__maybe", F.coalesce(hit, F.lit(False)) & F.col("__canon").isNotNull())
-    keep = [*urls.columns, "__canon"]
-    passed = rows.where(~F.col("__maybe")).select(*keep, F.lit(False).alias("__listed"))
-    exact = rows.where("__maybe").select(*keep).join(wanted.withColumn("__in", F.lit(True)), "__canon", "left")
-    return passed.unionByName(exact.select(*keep, F.coalesce("__in", F.lit(False)).alias("__listed")))
+    A list whose exact keys may be broadcast is joined in the pass that probes; for a larger
+    one, what the filter passes is shuffled to its keys and all other rows are not.
+    """
+    canon, out = unused(urls, canon), unused(urls, out)
+    maybe, there, probe = unused(urls, "__maybe"), unused(urls, "__in"), unused(urls, "__probe")
+    wanted = checkpointed(listed.select(F.col(f"`{key_col}`").alias(probe)).where(F.col(probe).isNotNull()).distinct())
+    count, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(probe) + 40), F.lit(0))).first()
+    bloom, blocks = bloom_table(wanted, [probe], count)
+    rows = bloom_hits(urls.withColumn(canon, canonical(F.col(f"`{url_col}`"))), [canon], bloom, blocks, maybe)
+    exact, keep = wanted.withColumn(there, F.lit(True)), [F.col(f"`{c}`") for c in [*urls.columns, canon]]
+    if size <= BROADCAST_LIST:
+        found = rows.withColumn(probe, F.when(F.col(maybe), F.col(canon))).join(F.broadcast(exact), probe, "left")
+        return found.select(*keep, F.coalesce(there, F.lit(False)).alias(out))
+    passed = rows.where(~F.col(maybe)).select(*keep, F.lit(False).alias(out))
+    found = rows.where(maybe).withColumn(probe, F.col(canon)).join(exact, probe, "left")
+    return passed.unionByName(found.select(*keep, F.coalesce(there, F.lit(False)).alias(out)))
 
 
 def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", key_col: str = "key", rules=RULES) -> DataFrame:
@@ -118,9 +99,11 @@ LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 
 
 def list_from(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:
-    """Canonical URLs of pages on hosts with one of the labels, as ``key``."""
-    host = host_of(F.col("url"))
-    return pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, labels)))).select(canonical(F.col("url")).alias("key"))
+    """A stand-in for a published list, as ``key``: canonical URLs of pages on hosts with one of the
+    labels, and for each of them a URL below it, most of which no page has."""
+    host, key = host_of(F.col("url")), canonical(F.col("url"))
+    found = pages.where(F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, labels))))
+    return found.select(F.explode(F.array(key, F.concat(key, F.lit("/archive")))).alias("key"))
 
 
 CANON_SQL = """
@@ -142,8 +125,9 @@ urls AS (
 
 SQL = f"""
 WITH {URLS_SQL},
-listed AS (SELECT DISTINCT canonical_url FROM urls
-           WHERE list_has_any(string_split(host, '.'), [{', '.join(f"'{x}'" for x in LISTED_LABELS)}]) AND canonical_url IS NOT NULL),
+labelled AS (SELECT canonical_url FROM urls
+             WHERE list_has_any(string_split(host, '.'), [{', '.join(f"'{x}'" for x in LISTED_LABELS)}]) AND canonical_url IS NOT NULL),
+listed AS (SELECT canonical_url FROM labelled UNION SELECT canonical_url || '/archive' FROM labelled),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
