@@ -11,11 +11,13 @@ identifier or an endpoint needs a secret. Base spans count as parts (an access i
 as an identifier, the others as secrets) and are never removed.
 
 Texts are scanned whole, in one pass without a shuffle; the work is linear in the text but
-for sorting its parts.
+for sorting its parts: addresses and hosts are sought from their signs outwards, so no run
+of letters is read more than a few times.
 
-Defined cases: null text is empty and has no spans; equal starts go by kind as listed in
-``KINDS``; a weak secret that overlaps a base span is that base span's; repeated rows are
-scanned alike; extra columns are ignored.
+Defined cases: null text is empty and has no spans; very long texts and tokens are scanned
+whole, in one row; equal starts go by kind as listed in ``KINDS``; a weak secret that
+overlaps a base span, an identifier or an endpoint is theirs; repeated rows are scanned
+alike; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from bisect import bisect_left
 from collections import Counter
 
@@ -38,10 +41,14 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # shorter runs hold no longer match
 HEX = re.compile(r"[0-9a-f]{32,}")  # likewise
 # weak parts
-MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 NAMED_ID = re.compile(r"\b(?:access_key_id|client_id|account_id|key_id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.IGNORECASE | re.ASCII)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:\d{2,5}\b")
+ADDRESS = re.compile(r"https?://[^\s\"'<>]+")
+PORT = re.compile(r":[0-9]{2,5}\b")
+HOST = frozenset(string.ascii_letters + string.digits + ".-")
+HOST_NAME = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
 Span = tuple[int, int, str]
 
@@ -89,16 +96,50 @@ class _Intervals:
         return k < len(self.starts) and self.starts[k] < hi
 
 
+def _back(text: str, end: int, least: int, allowed: frozenset[str]) -> int:
+    """Where the run of allowed characters before ``end`` begins, not before ``least``."""
+    start = end
+    while start > least and text[start - 1] in allowed:
+        start -= 1
+    return start
+
+
+def mails(text: str) -> list[tuple[int, int]]:
+    """Mail addresses, leftmost first and not overlapping: the characters around each ``@``."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = _back(text, at, last, LOCAL)
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            last = m.end()
+        else:
+            last = at + 1
+        at = text.find("@", max(last, at + 1))
+    return out
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Web addresses, and dotted host names with a port outside of them."""
+    out = [(m.start(), m.end()) for m in ADDRESS.finditer(text)]
+    inside, last = _Intervals(out), 0
+    for m in PORT.finditer(text):
+        start = _back(text, m.start(), last, HOST)
+        while start < m.start() and text[start] == ".":
+            start += 1
+        last = m.end()
+        if HOST_NAME.fullmatch(text, start, m.start()) and not inside.meets(start, m.end()):
+            out.append((start, m.end()))
+    return sorted(out)
+
+
 def linked_spans(text: str, base: list[Span], window: int = WINDOW) -> list[Span]:
     """Weak candidates whose complementary parts co-occur in their scope."""
     taken = _Intervals([(s, e) for s, e, _ in base])
     weak = [(m.start(), m.end()) for m in WEAK_SECRET.finditer(text) if _mixed(m.group()) and not taken.meets(m.start(), m.end())]
     if not weak and not base:
         return []  # identifiers and endpoints need a secret
-    mails = [(m.start(), m.end()) for m in MAIL.finditer(text)] if "@" in text else []
     named = [(m.start(), m.end()) for m in NAMED_ID.finditer(text)] if ":" in text or "=" in text else []
-    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)] if ":" in text else []
-    weak_ids, points = _Intervals(mails + named), _Intervals(ends)
+    weak_ids, points = _Intervals(mails(text) + named), _Intervals(endpoints(text) if ":" in text else [])
     weak = [(s, e) for s, e in weak if not weak_ids.meets(s, e) and not points.meets(s, e)]
     secrets = _Intervals(weak + [(s, e) for s, e, k in base if k != "access"])
     ids = _Intervals(list(zip(weak_ids.starts, weak_ids.ends)) + [(s, e) for s, e, k in base if k == "access"])
@@ -143,5 +184,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
