@@ -5,14 +5,18 @@ steps of 8, in overlapping chunks that cover the whole document. Each chunk keep
 filter's largest answer; their mean over the chunks and their maximum over the document
 are combined into one probability. Nothing but the text is an input.
 
-The fit takes at most ``fit_docs`` labelled rows, and of those at most ``fit_bytes`` of
-text, in the order of a hash of the id; it runs in the driver. Weights of a few tens of
-kilobytes go to the tasks, which score whole texts in one pass without a shuffle.
-
-Defined cases: null and empty texts have one chunk of padding and get its score; without
-labels of both classes every score is the share of label 1 (0.5 without any label);
-several labels of one document count by their largest; repeated rows are scored alike;
-extra columns are ignored.
+The fit takes at most ``fit_docs`` labelled documents, and of those at most ``fit_bytes`` of
+text, in the order of a hash of the id (a text larger than what is left of that is passed
+over); it runs in the driver. Weights of a few tens of kilobytes go to the tasks, which
+score whole texts in one pass without a shuffle, a long one piece by piece: mean and
+maximum over chunks need no more than one piece at a time.
+
+Defined cases: null and empty texts have one chunk of padding and get its score; very long
+texts are scored whole, in bounded memory; without labels of both classes every score is
+the share of label 1 (0.5 without any label); several labels of one document count by
+their largest, and of several texts of one id the largest teaches; a score of 0.5 counts as
+1; repeated rows are scored alike; an empty table gives an empty result; extra columns are
+ignored by ``classify`` and kept by ``scored``.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 
 FIT_DOCS, FIT_BYTES = 3000, 12 << 20
 WIDTH, BLOCK, CHUNK = 6, 8, 64  # of a byte's vector; bytes a step; steps a chunk
+#: Bytes of text scored at once.
+PIECE = 1 << 18
 FILTERS, EPOCHS, BATCH_BYTES, RATE, SEED = 32, 8, 96 << 10, 0.008, 7
 
 
@@ -60,28 +66,61 @@ class Network:
         }
         self.constant: float | None = None if 0 < prior < 1 else prior
 
-    def forward(self, texts: list[bytes]):
-        w = self.w
+    def peaks(self, texts: list[bytes]):
+        """The largest answer of every chunk and filter, with what the gradients need."""
+        w, half = self.w, BLOCK * WIDTH
         blocks, mask, owner, counts = _chunks(texts)
         n = len(blocks)
-        vectors = w["bytes"][blocks].reshape(n, CHUNK + 1, BLOCK * WIDTH)
-        half = BLOCK * WIDTH
+        vectors = w["bytes"][blocks].reshape(n, CHUNK + 1, half)
         answers = (vectors[:, :-1].reshape(-1, half) @ w["filters"][:half] + vectors[:, 1:].reshape(-1, half) @ w["filters"][half:]).reshape(n, CHUNK, FILTERS)
         answers[~mask] = -np.inf
-        peak = answers.max(axis=1) + w["bias"]
+        return answers.max(axis=1) + w["bias"], (blocks, owner, counts, vectors, answers)
+
+    def logit(self, mean: np.ndarray, top: np.ndarray) -> np.ndarray:
+        return mean @ self.w["mean"] + top @ self.w["top"] + self.w["shift"][0]
+
+    def forward(self, texts: list[bytes]):
+        peak, (blocks, owner, counts, vectors, answers) = self.peaks(texts)
         kept = np.maximum(peak, 0)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         mean = np.add.reduceat(kept, starts, axis=0) / counts[:, None]
         top = np.maximum.reduceat(kept, starts, axis=0)
-        logit = mean @ w["mean"] + top @ w["top"] + w["shift"][0]
-        return logit, (blocks, owner, counts, vectors, answers, peak, kept, mean, top)
+        return self.logit(mean, top), (blocks, owner, counts, vectors, answers, peak, kept, mean, top)
+
+    def long_logit(self, text: bytes) -> float:
+        """The logit of one text, a piece at a time."""
+        step, total, top, count = PIECE // (BLOCK * CHUNK) * BLOCK * CHUNK, np.zeros(FILTERS), np.zeros(FILTERS, np.float32), 0
+        for at in range(0, max(len(text), 1), step):
+            # the block after a piece belongs to its last chunk; the chunk that it starts is the next piece's
+            kept = np.maximum(self.peaks([text[at : at + step + BLOCK]])[0], 0)[: step // (BLOCK * CHUNK)]
+            total += kept.sum(axis=0, dtype=np.float64)
+            top = np.maximum(top, kept.max(axis=0))
+            count += len(kept)
+        return float(self.logit((total / count).astype(np.float32), top))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        logit, _ = self.forward(texts)
+        logits, part, places, size = np.zeros(len(texts)), [], [], 0
+
+        def run():
+            if part:
+                logits[places] = self.forward(part)[0]
+            part.clear(), places.clear()
+
+        for k, text in enumerate(texts):
+            if len(text) > PIECE:
+                logits[k] = self.long_logit(text)
+                continue
+            if size + len(text) > PIECE:
+                run()
+                size = 0
+            part.append(text)
+            places.append(k)
+            size += len(text) + BLOCK * CHUNK
+        run()
         # rounded, so that a text scores alike in every batch
-        return np.round(1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -40, 40))), 5)
+        return np.round(1 / (1 + np.exp(-np.clip(logits, -40, 40))), 5)
 
     def gradients(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
         w, half = self.w, BLOCK * WIDTH
@@ -132,16 +171,16 @@ def fit_network(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__label IS NOT NULL AND __id IS NOT NULL")
     marks = marks.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(order).limit(fit_docs)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    found = texts.join(F.broadcast(marks), "__id")
-    # sizes first: what is fetched is bounded in bytes too
-    sizes = found.select("__id", F.octet_length("__text").alias("n")).withColumn("o", order).orderBy("o", "n").limit(fit_docs).collect()
+    # at most ``fit_docs`` texts: one of each id
+    found = texts.join(F.broadcast(marks), "__id").groupBy("__id").agg(F.max("__text").alias("__text"), F.max("__label").alias("__label"))
+    sized = found.withColumn("__n", F.octet_length("__text")).withColumn("__o", order)
     taken, left = [], fit_bytes
-    for r in sizes:
-        if r.n <= left:
+    for r in sized.select("__id", "__n", "__o").orderBy("__o", "__n", "__id").collect():
+        if r["__n"] <= left:
             taken.append(r["__id"])
-            left -= r.n
-    rows = found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "__id long")), "__id", "left_semi") if taken else found.limit(0)
-    rows = sorted((r["__id"], r["__label"], r["__text"]) for r in rows.limit(fit_docs).collect())
+            left -= r["__n"]
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in taken], "__id long")
+    rows = sorted((r["__id"], r["__label"], r["__text"]) for r in found.join(F.broadcast(chosen), "__id", "left_semi").collect()) if taken else []
     if not rows:
         return _constant(0.5)
     marks_ = np.array([r[1] for r in rows], dtype=np.float32)
@@ -157,25 +196,15 @@ def _constant(score: float) -> Network:
     return network
 
 
-def scored(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``__score``."""
+def scored(docs: DataFrame, network: Network, text_col: str = "text", out: str = "__score") -> DataFrame:
+    """``docs`` with a column ``out``."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out, part, size = [], [], 0
-        for text in texts:
-            data = (text or "").encode()
-            if part and size + len(data) > 1 << 20:
-                out.append(sent.value.scores(part))
-                part, size = [], 0
-            part.append(data)
-            size += len(data)
-        if part:
-            out.append(sent.value.scores(part))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    return docs.withColumn("__score", score(F.col(text_col)))
+        return pd.Series(sent.value.scores([(t or "").encode() for t in texts]))
+
+    return docs.withColumn(out, score(F.col(f"`{text_col}`")))
 
 
 def held_out(id_col: str = "doc_id"):
