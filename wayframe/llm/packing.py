@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEQUENCE, CLOSING_ID = 2048, 0
-#: Documents per packing group, and words kept in a worker's cache.
-GROUP_DOCS, CACHE_WORDS = 4096, 600_000
+#: Pieces per packing group, and words kept in a worker's cache, none of them longer than this.
+GROUP_PIECES, CACHE_WORDS, CACHED_LENGTH = 4096, 600_000, 64
 
 
 def default_tokenizer() -> str:
@@ -69,7 +69,9 @@ class WordTokenizer:
                 if len(self) >= cache_words:
                     self.clear()
                 ids = [t.id for t in model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(table))]
-                out = self[piece] = packers[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
+                out = packers[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
+                if len(piece) <= CACHED_LENGTH:
+                    self[piece] = out
                 return out
 
         pieces = self.pieces = Pieces()
@@ -89,7 +91,8 @@ class WordTokenizer:
                     out = of(low) if low.isalpha() else b"".join(map(of, split.findall(low)))
                 else:
                     out = whole(word)
-                self[word] = out
+                if len(word) <= CACHED_LENGTH:
+                    self[word] = out
                 return out
 
         self.words = Words()
@@ -132,14 +135,16 @@ def pieces_of(docs: DataFrame, tokenizer_path: str | None = None, sequence: int
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(lengths: np.ndarray, sequence: int) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, sequence: int, may_open: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece, in the given order.
 
     Only the counts per gap matter for the choice; a gap's sequences are used last in, first out.
+    With ``may_open``, the published rule, a new sequence is one more choice though a gap is
+    large enough; an equal change goes to the fuller open sequence.
     """
     counts = np.zeros(sequence + 1, dtype=np.int64)
     open_by_gap: list[list[int]] = [[] for _ in range(sequence + 1)]
@@ -150,6 +155,7 @@ def sum_of_squares(lengths: np.ndarray, sequence: int) -> tuple[np.ndarray, np.n
             # half the change of the sum of squares, but for a constant; a full sequence is no longer open
             change = counts[rest] * (rest > 0) - counts[rest + size]
             left = int(rest[change.argmin()])
+        if len(rest) and not (may_open and 2 * counts[sequence - size] + 1 < 2 * change.min() + (2 if left else 1)):
             at = open_by_gap[left + size].pop()
             counts[left + size] -= 1
         else:
@@ -162,15 +168,18 @@ def sum_of_squares(lengths: np.ndarray, sequence: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, may_open: bool = False) -> DataFrame:
     """``pieces_of`` with ``sequence_id`` and ``offset``."""
-    groups = max(1, -(-docs.count() // group_docs))
+    # a token has about four bytes, so this is near the number of pieces
+    text = F.col(f"`{text_col}`").cast("string")
+    expected = docs.agg(F.sum(1 + F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / (4 * sequence)))).first()[0] or 0
+    groups = max(1, -(-expected // group_pieces))
     pieces = pieces_of(docs, tokenizer_path, sequence, id_col, text_col)
 
     def run(rows: pa.Table) -> pa.Table:
         group = rows.column("group")[0].as_py()
         rows = rows.drop_columns(["group"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        bins, offsets = sum_of_squares(rows.column("length").to_numpy(), sequence)
+        bins, offsets = sum_of_squares(rows.column("length").to_numpy(), sequence, may_open)
         return rows.append_column("sequence_id", pa.array((group << 32) + bins)).append_column("offset", pa.array(offsets))
 
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))

@@ -32,6 +32,8 @@ def _placed(totals: dict[int, tuple[int, int]], shards: int, total: int):
 
     def run(batches):
         start = row = None
+        # the least doubled middle of each shard but the first, in exact integers
+        cuts = np.array([-(-2 * total * k // shards) for k in range(1, shards)], dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -39,9 +41,8 @@ def _placed(totals: dict[int, tuple[int, int]], shards: int, total: int):
                 start, row = totals[batch.column("part")[0].as_py()]
             sizes = batch.column("size").to_numpy(zero_copy_only=False)
             ends = start + np.cumsum(sizes)
-            # the middle of the row decides, in exact integers
-            middles = 2 * (ends - sizes) + sizes
-            shard = np.array([min(shards - 1, int(m) * shards // (2 * total)) for m in middles], dtype=np.int32)
+            # the middle of the row decides
+            shard = np.searchsorted(cuts, 2 * ends - sizes, side="right").astype(np.int32)
             places = row + np.arange(len(sizes), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("size"), batch.column("text_crc32"), pa.array(shard), pa.array(places)],
