@@ -1,9 +1,12 @@
 """Decontamination, packing, secrets, SimHash, language and quality against brute force."""
 
 import hashlib
+import math
+import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -49,9 +52,22 @@ def brute_tiles(item, doc, k):
 def test_tiles_are_greedy(item, doc, k):
     got = dc.greedy_tiles(np.array(item, dtype=np.int64), np.array(doc, dtype=np.int64), k) if item and doc else []
     want = brute_tiles(item, doc, k)
-    assert sorted(n for _, _, n in got) == sorted(n for _, _, n in want)
-    for i, d, n in got:
-        assert item[i : i + n] == doc[d : d + n]
+    assert got == want
+
+
+def test_tiles_of_shuffled_passages():
+    item = list(range(1, 17))
+    doc = [*range(11, 16), *range(9, 16), *range(3, 10)]
+    assert dc.greedy_tiles(np.array(item), np.array(doc), 5) == brute_tiles(item, doc, 5) == [(2, 12, 7), (9, 6, 6)]
+    rng = random.Random(4)
+    for _ in range(1500):
+        n = rng.randrange(12, 41)
+        item, doc = list(range(1, n + 1)), []
+        for _ in range(rng.randrange(1, 6)):
+            a = rng.randrange(n)
+            doc += item[a : a + rng.randrange(3, 16)] + ([99] if rng.random() < 0.3 else [])
+        k = rng.choice([3, 5])
+        assert dc.greedy_tiles(np.array(item), np.array(doc), k) == brute_tiles(item, doc, k), (item, doc, k)
 
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards boil fresh green potatoes slowly tonight"
@@ -75,6 +91,26 @@ def test_decontamination(spark, limit):
     assert dc.clean(docs.limit(0), bench).count() == 0 and dc.clean(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_without_ids_and_repeated(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [" ".join(rng.sample(vocabulary, rng.choice([2, 4, 5, 9, 30]))) for _ in range(25)]
+    ids = [None, None, 3, 3, *range(10, 31)]
+    bench = [(i, t, "x") for i, t in zip(ids, items)] * 2
+    texts = [items[0] + " and " + items[2], items[1] + " or " + items[3], items[0] + " " + items[1], "long " * 60_000 + items[5]]
+    for _ in range(60):
+        words = rng.choice(items).split() + rng.choice(items).split()
+        a = rng.randrange(len(words))
+        texts.append(" ".join(words[a:] + ["gap"] * rng.randrange(2) + words[:a]))
+    texts += texts[:5]
+    docs = frame(spark, texts).withColumnRenamed("__tiling", "tiling")
+    bench = spark.createDataFrame(bench, "item_id long, text string, length string")
+    sides = [sorted(map(tuple, dc.report(docs, bench, broadcast_bytes=limit).collect())) for limit in (-1, 1 << 20)]
+    assert sides[0] == sides[1] and sum(r[1] for r in sides[0]) > 40
+    assert sides[0][0][:3] == (0, True, [3, None]) or sides[0][0][2][-1] is None
+    assert {len(dc.clean(docs, bench, broadcast_bytes=limit).columns) for limit in (-1, 1 << 20)} == {len(docs.columns)}
+
+
 def test_rolling_hashes_are_window_hashes():
     ids = np.arange(1, 60, dtype=np.int64) ** 2
     for n in (1, 2, 3, 5, 8, 13, 58, 59, 60):
@@ -117,7 +153,7 @@ def test_packing_round_trip(spark):
     rng = np.random.default_rng(0)
     texts = [None, "", "word " * 5000] + ["token " * int(n) for n in rng.integers(1, 2500, 120)]
     docs = frame(spark, texts)
-    out = packing.pack(docs, group_docs=40).collect()
+    out = packing.pack(docs, group_pieces=40).collect()
     plain = Tokenizer.from_file(packing.default_tokenizer())
     by_doc = {}
     for r in out:
@@ -138,16 +174,18 @@ def test_packing_round_trip(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 32), max_size=60))
-def test_sum_of_squares_picks_the_least(lengths):
+@given(st.lists(st.integers(1, 32), max_size=60), st.booleans())
+def test_sum_of_squares_picks_the_least(lengths, may_open):
     size = 32
-    bins, offsets = packing.sum_of_squares(np.array(lengths, dtype=np.int64), size)
+    bins, offsets = packing.sum_of_squares(np.array(lengths, dtype=np.int64), size, may_open)
     fill: dict[int, int] = {}
     for n, b, o in zip(lengths, bins.tolist(), offsets.tolist()):
         squares = lambda f: sum(c * c for c in np.bincount([size - x for x in f.values() if x < size], minlength=1).tolist())
         options = [squares(fill | {k: v + n}) for k, v in fill.items() if v < size and v + n <= size]
         assert o == fill.get(b, 0)
-        if options:
+        if may_open:
+            assert squares(fill | {b: o + n}) == min(options + [squares(fill | {len(lengths): n})])
+        elif options:
             assert b in fill and squares(fill | {b: fill[b] + n}) == min(options)
         else:
             assert b not in fill
@@ -176,6 +214,62 @@ def test_secret_spans(parts):
     assert [x[0] for x in every] == sorted(x[0] for x in every)
 
 
+def brute_linked(text):
+    """Every part against every other, within scopes, by patterns that may take their time."""
+    base = brute_base(text)
+    spans = lambda pattern, flags=0: [(m.start(), m.end()) for m in re.finditer(pattern, text, flags)]
+    meet = lambda a, b: a[0] < b[1] and b[0] < a[1]
+
+    def merged(parts):
+        out = []
+        for s, e in sorted(parts):
+            if out and s < out[-1][1]:
+                out[-1] = (out[-1][0], max(e, out[-1][1]))
+            else:
+                out.append((s, e))
+        return out
+
+    ids = merged(spans(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+") + spans(secret_scan.NAMED_ID.pattern, re.I | re.A))
+    web = spans(r"https?://[^\s\"'<>]+")
+    hosts = [h for h in spans(r"(?<![A-Za-z0-9-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b") if not any(meet(h, w) for w in web)]
+    points = merged(web + hosts)
+    weak = [(s, e) for s, e in spans(secret_scan.WEAK_SECRET.pattern) if secret_scan._mixed(text[s:e])]
+    weak = [w for w in weak if not any(meet(w, p) for p in [*ids, *points, *((s, e) for s, e, _ in base)])]
+
+    def scope(s, e):
+        before = [m for m in range(max(0, s - secret_scan.WINDOW), s - 1) if text[m : m + 2] == "\n\n"]
+        after = [m for m in range(e, min(len(text), e + secret_scan.WINDOW) - 1) if text[m : m + 2] == "\n\n"]
+        return (before[-1] + 2 if before else s - secret_scan.WINDOW), (after[0] if after else e + secret_scan.WINDOW)
+
+    near = lambda part, others: any(meet(scope(*part), o) for o in others)
+    secrets, keys = weak + [(s, e) for s, e, k in base if k != "access"], ids + [(s, e) for s, e, k in base if k == "access"]
+    return sorted([(*w, "secret") for w in weak if near(w, keys + points)] + [(*i, "identifier") for i in ids if near(i, secrets)] + [(*p, "endpoint") for p in points if near(p, secrets)])
+
+
+LINK_PARTS = [*PARTS, "@", ".", "a.b", "-", "db.example.com:5432", ":8080", "http://", "client_id=abc ", "x" * 150, " " * 120, "\n\n", "Zz9Yy8Xx7Ww6Vv5Uu4Tt3", "@a.b@c.d", ".."]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(LINK_PARTS), max_size=16))
+def test_linked_spans_against_all_pairs(parts):
+    text = "".join(parts)
+    base, every = secret_scan.secret_spans(text)
+    assert sorted(set(every) - set(base)) == brute_linked(text), text
+
+
+def test_scan_is_linear_and_repeated_rows_agree(spark):
+    import time
+
+    key = "aB3dE6gH9jK2mN5pQ8sT"
+    for part in ("@" + "a" * 1_000_000 + " ", "a." * 500_000 + " ", "a@" * 500_000, "a.b:" * 250_000, "@a.b" * 250_000, "x" * 1_000_000, "user=" * 200_000, "password " * 100_000):
+        began = time.process_time()
+        secret_scan.secret_spans(key + " " + part)
+        assert time.process_time() - began < 5
+    texts = [f"login user@mail.example.com with {key} and {key}" + "B" * 5_000] * 3
+    docs = spark.createDataFrame([(7, t, "p") for t in texts], "doc_id long, text string, spans string")
+    assert len({tuple(r) for r in secret_scan.scan(docs).collect()}) == 1
+
+
 def test_linking_needs_complementary_parts(spark):
     weak = "aB3dE6gH9jK2mN5pQ8sT"
     kinds = lambda t: [k for _, _, k in secret_scan.secret_spans(t)[1]]
@@ -280,6 +374,60 @@ def test_language(spark):
     assert langid.predictions(docs.limit(0)).count() == 0
 
 
+def brute_language(counts, text):
+    """Word by word, n-gram by n-gram, from the counts."""
+    languages = sorted({c[0] for c in counts})
+    have = {}
+    for lang, kind, token, n in counts:
+        have.setdefault(kind, {}).setdefault(token, {})[lang] = n
+    if not text or not languages or not any(c.isalpha() for c in text):
+        return "und", 0.0
+
+    def log(kind, token, lang):
+        total = sum(v.get(lang, 0) for v in have[kind].values())
+        return math.log((have[kind][token].get(lang, 0) + langid.SMOOTHING) / (total + langid.SMOOTHING * len(have[kind])))
+
+    sums = dict.fromkeys(languages, 0.0)
+    for word in text.split():
+        word = re.sub(r"^[\W\d_]+|[\W\d_]+$", "", word.lower())
+        if not word:
+            continue
+        found = [(0, word)] if word in have.get(0, {}) else []
+        for order in (4, 3, 2, 1):
+            if not found:
+                line = f"<{word}>" if order > 1 else word
+                found = [(order, line[i : i + order]) for i in range(len(line) - order + 1) if line[i : i + order] in have.get(order, {})]
+        for lang in languages:
+            sums[lang] += sum(log(k, t, lang) for k, t in found) / len(found) if found else 0.0
+    best = max(languages, key=lambda x: (sums[x], -languages.index(x)))
+    return best, 1 / sum(math.exp(sums[x] - sums[best]) for x in languages)
+
+
+def test_scores_against_backoff_by_hand(spark):
+    rng = random.Random(3)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(1, 8))) for _ in range(12))
+    texts = [make("abcde") if k % 2 else make("cdefgé") for k in range(60)]
+    docs = frame(spark, texts, ["aa" if k % 2 else "bb" for k in range(60)])
+    counts = langid.fit(docs, vocabulary=300)
+    assert {c[1] for c in counts} == {0, 1, 2, 3, 4} and max(Counter(c[:2] for c in counts).values()) <= 60
+    probes = texts + [make("abcdefgé'1. ") for _ in range(60)] + [None, "", "1 2", "zz", "a" * 50_000, "(abc) <de> ABC. x1y İı ß", "\ud7ff aé"]
+    got = langid.Model(counts).predict(probes)
+    for text, (lang, score) in zip(probes, got):
+        want = brute_language(counts, text)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-9), text
+    assert langid.Model(counts).predict(probes[::-1]) == got[::-1]
+    again = frame(spark, [texts[0]] * 3 + ["cd"] * 2)
+    assert len({(r.lang_pred, r.score) for r in langid.identify(again, docs).select("language.*").collect()}) == 2
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    texts = [f"common{k % 50} words every{k % 70} day" for k in range(400)] + ["zyx wvu"] * 2
+    docs = frame(spark, texts, ["en"] * 400 + ["rr"] * 2)
+    counts = langid.fit(docs, fit_docs=60, vocabulary=200)
+    assert {"zyx", "wvu"} <= {c[2] for c in counts if c[0] == "rr" and c[1] == 0}
+    assert langid.Model(counts).predict(["wvu zyx"])[0][0] == "rr"
+
+
 def test_held_out_rows_do_not_teach(spark):
     docs = frame(spark, [f"w{k} shared" for k in range(40)], [f"l{k}" if zlib.crc32(str(k).encode()) % 4 == 2 else "ok" for k in range(40)])
     assert {r.lang_pred for r in langid.predictions(docs).collect()} == {"ok"}
@@ -300,6 +448,58 @@ def test_quality_learns_and_covers_the_whole_text(spark):
     assert {r.score for r in none.collect()} == {0.5} and quality.classify(docs.limit(0), labels).count() == 0
 
 
+def brute_score(net, text):
+    """The network by its definition, step by step."""
+    steps = max(1, -(-len(text) // quality.BLOCK))
+    padded = text + b"\0" * (-len(text) % quality.BLOCK or (quality.BLOCK if not text else 0)) + b"\0" * quality.BLOCK
+    peaks = {}
+    for k in range(steps):
+        window = padded[k * quality.BLOCK : (k + 2) * quality.BLOCK]
+        last = (k + 1) % quality.CHUNK == 0 and k + 1 == steps
+        if last:
+            window = window[: quality.BLOCK] + b"\0" * quality.BLOCK
+        answer = np.concatenate([net.w["bytes"][b] for b in window]) @ net.w["filters"]
+        chunk = k // quality.CHUNK
+        peaks[chunk] = np.maximum(peaks.get(chunk, -np.inf), answer)
+    kept = np.array([np.maximum(p + net.w["bias"], 0) for p in peaks.values()])
+    logit = kept.mean(axis=0) @ net.w["mean"] + kept.max(axis=0) @ net.w["top"] + net.w["shift"][0]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_against_definition(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = quality.Network(0.5)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 7, 8, 9, 511, 512, 513, 1024, 3000, 20_000)]
+    want = [brute_score(net, t) for t in texts]
+    assert np.allclose(net.scores(texts), want, atol=2e-5)
+    monkeypatch.setattr(quality, "PIECE", 1024)
+    assert np.allclose(net.scores(texts), want, atol=2e-5)
+    assert np.allclose(net.scores(texts[::-1])[::-1], want, atol=2e-5)
+
+
+def test_long_text_is_scored_in_bounded_memory():
+    import tracemalloc
+
+    net = quality.Network(0.5)
+    tracemalloc.start()
+    net.scores([b"some long text " * 700_000])
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_repeated_ids_stay_within_the_fit_bound(spark):
+    docs = spark.createDataFrame([(k % 3, "x" * 1000 + str(k), 1.0) for k in range(90)], "doc_id long, text string, __score double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3)] * 2, "doc_id long, quality int")
+    seen = []
+    original = quality.Network.fit
+    try:
+        quality.Network.fit = lambda self, texts, marks, *a: (seen.append(texts), original(self, texts, marks))[1]
+        out = quality.classify(docs, labels, fit_bytes=2500).collect()
+    finally:
+        quality.Network.fit = original
+    assert len(out) == 90 and all(sum(map(len, t)) <= 2500 for t in seen)
+
+
 def test_network_gradient():
     net = quality.Network(0.5)
     texts, labels, weights = [b"hello world, this is text" * 40, b"", b"\x00\xff" * 700], np.array([1, 0, 1], np.float32), np.ones(3, np.float32)
