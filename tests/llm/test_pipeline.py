@@ -9,7 +9,6 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from wayframe.llm import simhash
 from wayframe.llm.queries import ORACLE_SQL, QUERIES
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -18,18 +17,21 @@ ITEM = "seven quiet benchmark questions about rivers mountains and lakes that no
 
 def test_pipeline_against_brute_force(spark, tmp_path):
     texts = [f"the house and the garden of number {k} with {k * 7} windows and {k * 3} doors near street {k * 11}" for k in range(40)]
+    base = " ".join(f"word{k}" for k in range(90)).split()
+    texts += [" ".join(base), " ".join(base[:40] + ["changed"] + base[41:]), " ".join(base[:45]), " ".join(base) + " tail"]
     texts += [texts[3], texts[3], None, "12345", "some text first and then " + ITEM + " and the end", ITEM]
     docs = spark.createDataFrame([(k, t, "en", f"s{k % 2}", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     keep = [k for k, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
     keep = [k for k in keep if k == max(j for j in keep if texts[j] == texts[k])]
-    fps = {k: simhash.fingerprint(texts[k]) for k in keep}
+    five = lambda t: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
     root = {k: k for k in keep}
     for _ in keep:
         for a in keep:
             for b in keep:
-                if bin(fps[a] ^ fps[b]).count("1") <= 2:
+                x, y = five(texts[a]), five(texts[b])
+                if len(x & y) >= 0.8 * len(x | y):
                     root[b] = min(root[a], root[b])
     keep = [k for k in keep if root[k] == k and ITEM not in texts[k]]
     out = corpus_pipeline.run(spark, str(tmp_path))
@@ -45,6 +47,21 @@ def test_stages_keep_columns(spark, data):
         assert empty.count() == 0, name
 
 
+CLASHING = ["tiling", "language", "__len", "__head", "__sha", "__keep", "__copied", "__gone", "fp", "key", "item", "k1", "a.b"]
+
+
+def test_stages_with_clashing_names_and_long_texts(spark, data):
+    long = "the house and the garden of the old man near the river " * 8_000
+    rows = [(1, long, "en"), (2, long + "end", "en"), (3, long, "en"), (4, "a short text of its own that is about something else entirely", "en"), (4, None, None), (None, "", None)]
+    docs = spark.createDataFrame([(*r, *[str(k)] * len(CLASHING)) for k, r in enumerate(rows)], "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    want = {"language": [1, 2, 3, 4], "exact_dedup": [2, 3, 4, 4], "near_dedup": [None, 1, 4, 4], "decontamination": [None, 1, 2, 3, 4, 4]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns, name
+        assert sorted((r.doc_id for r in out.collect()), key=lambda i: (i is not None, i)) == want[name], name
+    assert corpus_pipeline.packed(spark, docs, data).select("doc_id").distinct().count() == 5
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, name):
     df = QUERIES[name](spark, data)

@@ -18,8 +18,9 @@ counts reaches the driver.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other;
 fewer than three words are one shingle; a bit set in exactly half the hashes is 0;
-repeated rows share a component; a component whose ids are all null has a null id;
-extra columns are ignored by ``components`` and kept by ``drop_near_copies``.
+very long texts are read whole, in one row; repeated rows share a component; a component
+whose ids are all null has a null id; an empty table gives an empty result; extra columns,
+whatever their names, are ignored by ``components`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -187,7 +188,7 @@ def links(distinct: DataFrame, count: int, threshold: int = THRESHOLD) -> DataFr
     home = at_anchors(distinct, blocks, threshold, True).select("anchor", F.col("fp").alias("a"))
     visit = at_anchors(distinct, blocks, threshold, False).select("anchor", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    return visit.join(home.hint("shuffle_hash"), (visit.anchor == home.anchor) & near & (F.col("a") < F.col("b"))).select("a", "b")
+    return visit.join(home, (visit.anchor == home.anchor) & near & (F.col("a") < F.col("b"))).select("a", "b")
 
 
 # components
@@ -234,11 +235,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 BROADCAST_IDS = 2_000_000
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with the smallest id of every component only (rows without an id stay); columns unchanged."""
-    found = components(docs, id_col, text_col, threshold)
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, similarity: float | None = None) -> DataFrame:
+    """``docs`` with the smallest id of every component only (rows without an id stay); columns unchanged.
+
+    With ``similarity``, texts link by the Jaccard similarity of their five-word shingles instead:
+    texts of 0.8 differ in about 10 of 64 bits and up to 18, and no covering code reaches that far
+    with a bearable number of anchors, so those links come from ``similar``.
+    """
+    if similarity is None:
+        found = components(docs, id_col, text_col, threshold)
+    else:
+        from .similar import components as similar_components
+
+        found = similar_components(docs, id_col, text_col, similarity=similarity)
     name = unused(docs, "__gone")
     gone = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{name}`"), "left_anti")
