@@ -53,8 +53,11 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str, t
 
 
 def set_fingerprint(*values: Column) -> Column:
-    """Order-independent fingerprint of a multiset's rows: count and xor of hashes as text."""
-    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.hex(F.bit_xor(F.xxhash64(*values))))
+    """Order-independent fingerprint of a set's rows: the XOR of their SHA-256 digests, in hexadecimal."""
+    digest = F.sha2(F.to_json(F.struct(*values)).cast("binary"), 256)
+    # 32 bits at a time, which no signed integer cuts short
+    parts = [F.bit_xor(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")) for k in range(8)]
+    return F.concat(*[F.lpad(F.lower(F.hex(part)), 8, "0") for part in parts])
 
 
 def ordered_fingerprint(*values: Column) -> Column:

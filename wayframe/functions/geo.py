@@ -104,6 +104,128 @@ def midpoint(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> tuple[Co
     return F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
 
 
+def centroid(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> tuple[Column, Column]:
+    """Plain centre of two points, in degrees."""
+    return (lon1 + lon2) / 2, (lat1 + lat2) / 2
+
+
+def _planar_size(e: Column) -> Column:
+    dx, dy = e["q"]["lon"] - e["p"]["lon"], e["q"]["lat"] - e["p"]["lat"]
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _planar_runs(path: Column) -> Column:
+    """Planar length before each vertex."""
+    return F.aggregate(edges(path), F.array(F.lit(0.0)), lambda acc, e: F.array_append(acc, F.element_at(acc, -1) + _planar_size(e)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _interpolated(path: Column, at: Column) -> Column:
+    """The point at a planar length along the path."""
+
+    def step(acc, e):
+        size = _planar_size(e)
+        here = acc["run"] <= acc["at"]
+        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (acc["at"] - acc["run"]) / size))).otherwise(0.0)
+        lon = F.when(here, e["p"]["lon"] + t * (e["q"]["lon"] - e["p"]["lon"])).otherwise(acc["lon"])
+        lat = F.when(here, e["p"]["lat"] + t * (e["q"]["lat"] - e["p"]["lat"])).otherwise(acc["lat"])
+        return F.struct((acc["run"] + size).alias("run"), acc["at"].alias("at"), lon.alias("lon"), lat.alias("lat"))
+
+    first = F.get(path, F.lit(0))
+    start = F.struct(F.lit(0.0).alias("run"), at.alias("at"), first["lon"].alias("lon"), first["lat"].alias("lat"))
+    return F.aggregate(edges(path), start, step, lambda acc: F.struct(acc["lon"].alias("lon"), acc["lat"].alias("lat")))
+
+
+def interpolate(path: Column, fraction: Column) -> Column:
+    """The point at a fraction of the planar length: struct ``lon, lat``."""
+    total = F.aggregate(edges(path), F.lit(0.0), lambda acc, e: acc + _planar_size(e))
+    return _interpolated(path, F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction)) * total)
+
+
+def substring(path: Column, start: Column, end: Column) -> Column:
+    """The part between two fractions of the planar length; null unless the second is larger."""
+
+    def cut(runs):
+        total = F.element_at(runs, -1)
+        bounds = F.struct((start * total).alias("lo"), (end * total).alias("hi"))
+
+        def part(b):
+            plain = lambda x: F.struct(x["p"]["lon"].alias("lon"), x["p"]["lat"].alias("lat"))
+            placed = F.zip_with(path, runs, lambda p, r: F.struct(p.alias("p"), r.alias("r")))
+            inner = F.transform(F.filter(placed, lambda x: (x["r"] > b["lo"]) & (x["r"] < b["hi"])), plain)
+            return F.concat(F.array(_interpolated(path, b["lo"])), inner, F.array(_interpolated(path, b["hi"])))
+
+        return let(bounds, part)
+
+    return F.when(end > start, let(_planar_runs(path), cut))
+
+
+def samples(path: Column, step_m: float) -> Column:
+    """Points of a path such that none of it is farther than half a step from one; its ends are among them."""
+    pieces = F.transform(edges(path), lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), F.greatest(F.lit(1), F.ceil(between(e["p"], e["q"]) / step_m).cast("int")).alias("n")))
+
+    def cut(e):
+        share = lambda k: (k + 0.5) / e["n"]
+        return F.transform(
+            F.sequence(F.lit(0), e["n"] - 1),
+            lambda k: F.struct((e["p"]["lon"] + share(k) * (e["q"]["lon"] - e["p"]["lon"])).alias("lon"), (e["p"]["lat"] + share(k) * (e["q"]["lat"] - e["p"]["lat"])).alias("lat")),
+        )
+
+    plain = lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))
+    ends = F.transform(F.filter(F.array(F.get(path, F.lit(0)), F.try_element_at(path, F.lit(-1))), lambda p: p.isNotNull()), plain)
+    return F.concat(ends, F.flatten(F.transform(pieces, cut)))
+
+
+def fragments(path: Column, most: int = 127) -> Column:
+    """Pieces of at most ``most`` edges; each begins with the vertex that ends the one before."""
+    n = F.greatest(F.lit(1), F.ceil((F.size(path) - 1) / most)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(path, k * most + 1, most + 1))
+
+
+def _side(a: Column, b: Column, c: Column) -> Column:
+    return F.signum((b["lon"] - a["lon"]) * (c["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (c["lon"] - a["lon"]))
+
+
+def paths_cross(one: Column, two: Column) -> Column:
+    """Does an edge of one path properly cross an edge of the other?"""
+
+    def cross(e, f):
+        return (_side(e["p"], e["q"], f["p"]) * _side(e["p"], e["q"], f["q"]) < 0) & (_side(f["p"], f["q"], e["p"]) * _side(f["p"], f["q"], e["q"]) < 0)
+
+    return F.exists(edges(one), lambda e: F.exists(edges(two), lambda f: cross(e, f)))
+
+
+def path_distance(one: Column, two: Column) -> Column:
+    """Smallest distance between two paths: 0 where they cross, else from a vertex of either to the other."""
+    to = lambda path, other: F.array_min(F.transform(path, lambda p: point_path_distance(p["lon"], p["lat"], other)))
+    return F.when(paths_cross(one, two), 0.0).otherwise(F.least(to(one, two), to(two, one)))
+
+
+# fixed values: the ellipsoid's axis and flattening, and the projection's scale and false origin
+AXIS_M, FLATTENING = 6378137.0, 1 / 298.257223563
+SCALE, FALSE_EAST_M, FALSE_NORTH_M = 0.9996, 500_000.0, 10_000_000.0
+
+
+def transverse_mercator(lon: Column, lat: Column, zone: int = 21, south: bool = True) -> tuple[Column, Column]:
+    """Easting and northing in metres of a zone of the universal transverse Mercator projection."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = AXIS_M / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    c = 2 * math.sqrt(n) / (1 + n)
+    sine, off = F.sin(F.radians(lat)), F.radians(lon - (6 * zone - 183))
+    t = F.sinh(F.atanh(sine) - c * F.atanh(c * sine))
+    xi, eta = F.atan2(t, F.cos(off)), F.atanh(F.sin(off) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for k, a in enumerate(alpha, 1):
+        east = east + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+        north = north + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+    return FALSE_EAST_M + SCALE * radius * east, (FALSE_NORTH_M if south else 0.0) + SCALE * radius * north
+
+
 def expanded_box(path: Column, margin_m: float) -> Column:
     """Envelope of a path with a margin: struct ``min_lon, min_lat, max_lon, max_lat``."""
     lons, lats = F.transform(path, lambda p: p["lon"]), F.transform(path, lambda p: p["lat"])

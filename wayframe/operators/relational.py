@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.geo import DEGREE_M, haversine
 
 
+#: Buckets that more bands than may be broadcast are dealt to.
+BAND_BUCKETS = 256
+
+
 def _band(lat: Column, step: float) -> Column:
     return F.floor((lat + 90.0) / step).cast("long")
 
@@ -102,14 +106,20 @@ def as_of_latest(events: DataFrame, facts: DataFrame, keys: list[str], time: str
 def band_lookup(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str, on: list[str] | None = None, bound: int = 10_000) -> DataFrame:
     """Rows with the band [low, high) that holds their value; a null high has no end.
 
-    Bands are a table of rules; they are broadcast only while their counted number is bounded.
+    Bands are a table of rules; they are broadcast while their counted number is bounded. More of them
+    are cut at all their bounds, and values and cuts meet by an as-of merge in buckets between quantiles of the bounds.
     """
-    if bands.count() <= bound:
-        bands = F.broadcast(bands)
-    inside = (F.col(value) >= F.col(low)) & (F.col(value) < F.coalesce(F.col(high).cast("double"), F.lit(float("inf"))))
+    end = F.coalesce(F.col(high).cast("double"), F.lit(float("inf")))
+    inside = (F.col(value) >= F.col(low)) & (F.col(value) < end)
     if on:
-        return rows.join(bands, on).where(inside)
-    return rows.join(bands, inside)
+        return rows.join(F.broadcast(bands) if bands.count() <= bound else bands, on).where(inside)
+    if bands.count() <= bound:
+        return rows.join(F.broadcast(bands), inside)
+    cuts = bands.stat.approxQuantile(low, [k / BAND_BUCKETS for k in range(1, BAND_BUCKETS)], 0.001)  # a fixed number of values
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
+    bucket = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
+    spread = bands.withColumn("__b", F.explode(F.sequence(bucket(F.col(low)), bucket(end))))
+    return rows.withColumn("__b", bucket(F.col(value))).join(spread, "__b").where(inside).drop("__b")
 
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
@@ -155,6 +165,13 @@ def page(df: DataFrame, order: list[Column], limit: int | None, offset: int = 0)
     return out.limit(limit) if limit else out
 
 
+def keyset_page(df: DataFrame, key: str, after: object | None, limit: int | None) -> DataFrame:
+    """Rows after a key in its order, without sorting what comes before; no or zero limit means all."""
+    out = df if after is None else df.where(F.col(key) > F.lit(after))
+    out = out.orderBy(key)
+    return out.limit(limit) if limit else out
+
+
 def with_total(df: DataFrame, name: str = "total") -> DataFrame:
     """Each row with the number of all rows, from one partially aggregated count."""
     return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))
