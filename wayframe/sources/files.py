@@ -26,6 +26,15 @@ def check_header(header: list[str], schema: StructType, name: str = "file") -> N
             raise InvalidField(name, f"column {k + 1} is {a!r} instead of {b!r}")
 
 
+def header_problems(headers: DataFrame, schema: StructType, column: str = "header") -> DataFrame:
+    """``check_header`` for a table of header lines: adds ``problem``, null where the header is right."""
+    wanted = F.array(*[F.lit(f.name.lower()) for f in schema])
+    found = F.transform(F.split(F.regexp_replace(F.col(column), "^\ufeff|\r$", ""), ","), lambda h: F.lower(F.trim(h)))
+    wrong = F.filter(F.transform(F.arrays_zip(found.alias("a"), wanted.alias("b")), lambda x, k: F.when(x["a"] != x["b"], k + 1)), lambda k: k.isNotNull())
+    count = F.concat(F.size(found).cast("string"), F.lit(f" columns instead of {len(schema)}"))
+    return headers.withColumn("problem", F.when(F.size(found) != len(schema), count).when(F.size(wrong) > 0, F.concat(F.lit("column "), F.get(wrong, F.lit(0)).cast("string"))))
+
+
 def read_delimited(spark: SparkSession, path: str, name: str, schema: StructType | None = None) -> DataFrame:
     """A strict typed scan: empty fields are null; a value that can't be read fails the scan when it runs."""
     schema = schema or parsed(FILES[name])
@@ -71,6 +80,29 @@ def parse_relations(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(F.col(column).startswith("r")).select(column).mapInPandas(run, RELATION)
 
 
+def parse_nodes(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``id, lon, lat`` from lines of ``n<id> ... x<lon> y<lat>``; nodes without a position are left out."""
+    part = lambda letter: F.regexp_extract(column, f" {letter}(-?[0-9.]+)(?: |$)", 1).try_cast("double")
+    rows = lines.where(F.col(column).rlike("^n[0-9]+ ")).select(F.regexp_extract(column, "^n([0-9]+)", 1).cast("long").alias("id"), part("x").alias("lon"), part("y").alias("lat"))
+    return rows.where("lon IS NOT NULL AND lat IS NOT NULL")
+
+
+def parse_ways(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``way_id, tags, refs`` from lines of ``w<id> ... T<tags> N<nodes>``."""
+    plain = lambda c: F.when(c.contains("%"), unescaped(c)).otherwise(c)
+    pairs = F.filter(F.split(F.regexp_extract(column, " T([^ ]*)", 1), ","), lambda t: t.contains("="))
+    tags = F.map_from_entries(F.transform(pairs, lambda t: F.struct(plain(F.regexp_extract(t, "^([^=]*)=", 1)), plain(F.regexp_extract(t, "^[^=]*=(.*)$", 1)))))
+    refs = F.transform(F.filter(F.split(F.regexp_extract(column, " N([^ ]*)", 1), ","), lambda r: r.rlike("^n[0-9]+")), lambda r: F.regexp_extract(r, "^n([0-9]+)", 1).cast("long"))
+    return lines.where(F.col(column).rlike("^w[0-9]+ ")).select(F.regexp_extract(column, "^w([0-9]+)", 1).cast("long").alias("way_id"), tags.alias("tags"), refs.alias("refs"))
+
+
+def unescaped(text: Column) -> Column:
+    """Text with ``%hex%`` escapes put back, in built-in functions."""
+    parts = F.split(text, "%")
+    turned = F.transform(parts, lambda x, k: F.when(k % 2 == 0, x).otherwise(F.decode(F.unhex(F.lpad(x, 8, "0")), "UTF-32")))
+    return F.array_join(turned, "")
+
+
 SNAPSHOT = (
     "array<struct<route_id:string,latitude:double,longitude:double,speed:double,timestamp:long,id:string,direction:int,"
     "agency_name:string,agency_id:long,route_short_name:string,tip_id:string,trip_headsign:string>>"
@@ -124,19 +156,26 @@ def to_geojson(path: Column) -> Column:
     return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(path, lambda p: F.array(p["lon"], p["lat"])).alias("coordinates")))
 
 
-TRAFFIC = "source_id string, road_category string, road_coverage string, speed_kph double, has_speed boolean, closure boolean, path array<struct<lon:double,lat:double>>"
+TRAFFIC = "ordinal int, source_id string, road_category string, road_coverage string, speed_kph double, has_speed boolean, closure boolean, path array<struct<lon:double,lat:double>>"
 
 
 def traffic_segments(documents: DataFrame, body: str = "body") -> DataFrame:
     """Directed traffic segments from decoded features."""
     p = F.col("properties")
     return features(documents, body).select(
-        p["source_id"].alias("source_id"), p["road_category"].alias("road_category"), p["road_coverage"].alias("road_coverage"),
+        "ordinal", p["source_id"].alias("source_id"), p["road_category"].alias("road_category"), p["road_coverage"].alias("road_coverage"),
         p["speed_kph"].try_cast("double").alias("speed_kph"), F.coalesce(p["speed_kph"].try_cast("double") > 0, F.lit(False)).alias("has_speed"),
         F.coalesce(p["closure"].try_cast("boolean"), F.lit(False)).alias("closure"), "path",
     )
 
 
+def unnested(df: DataFrame, columns: list[str], ordinal: str = "ordinal") -> DataFrame:
+    """Parallel arrays as rows with their ordinal from 1; shorter arrays give nulls."""
+    rest = [c for c in df.columns if c not in columns]
+    rows = df.select(*rest, F.posexplode(F.arrays_zip(*[F.col(c) for c in columns])).alias("__k", "__r"))
+    return rows.select(*rest, (F.col("__k") + 1).alias(ordinal), *[F.col("__r")[c].alias(c) for c in columns])
+
+
 def tile_cover(boxes: DataFrame, zoom: int) -> DataFrame:
     """Map tiles that cover boxes (``min_lon, min_lat, max_lon, max_lat``), ordered by row, then column."""
     x = F.sequence(tile_x(F.col("min_lon"), zoom), tile_x(F.col("max_lon"), zoom))

@@ -42,6 +42,33 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def bulk_load(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Stages tables as they are, replacing what the folder held, and reads them back."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        overwrite(df, f"{folder}/{name}")
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
+
+
+def report_lines(header: DataFrame, analyses: DataFrame, order: list[str]) -> DataFrame:
+    """A report's lines as ``seq, kind, line``: one header, the analyses in order, and a last line that counts them.
+
+    A reader that finds no last line, or another count than lines, has a cut report.
+    """
+    over = Window.orderBy(*order)  # a report is read by people: its rows are few
+    first = header.limit(1).select(F.lit(0).cast("long").alias("seq"), F.lit("header").alias("kind"), F.to_json(F.struct(*header.columns)).alias("line"))
+    rows = analyses.select(F.row_number().over(over).cast("long").alias("seq"), F.lit("analysis").alias("kind"), F.to_json(F.struct(*analyses.columns)).alias("line"))
+    last = analyses.agg(F.count(F.lit(1)).alias("n")).select((F.col("n") + 1).alias("seq"), F.lit("complete").alias("kind"), F.to_json(F.struct(F.col("n").alias("analyses"))).alias("line"))
+    return first.unionByName(rows).unionByName(last)
+
+
+def write_archive(captures: DataFrame, folder: str, body: str = "body") -> None:
+    """Distinct bodies, compressed, and one line of metadata for each capture that refers to them."""
+    bodies, refers = archive_bodies(captures, body)
+    bodies.write.mode("overwrite").option("compression", "gzip").json(f"{folder}/bodies")
+    refers.write.mode("overwrite").json(f"{folder}/captures")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """One JSON document per row; the completion marker tells a whole report."""
     df.write.mode("overwrite").json(path)
@@ -64,11 +91,17 @@ def route_documents(route_stops: DataFrame, stops: DataFrame) -> DataFrame:
     return rows.groupBy("route_id").agg(F.to_json(F.struct(listed.alias("stops"))).alias("document"))
 
 
+#: Features of one layer that a single document may hold.
+MOST_FEATURES = 50_000
+
+
 def map_snapshot(layers: dict[str, DataFrame], status: dict[str, object]) -> DataFrame:
     """One document of feature collections (``layer`` to ``geojson, properties`` rows) and a status part."""
     spark = next(iter(layers.values())).sparkSession
     parts = None
     for name, rows in layers.items():
+        if (found := rows.limit(MOST_FEATURES + 1).count()) > MOST_FEATURES:
+            raise ValueError(f"layer {name} has more than {MOST_FEATURES} features; found at least {found}")
         part = rows.agg(F.lit(name).alias("layer"), F.array_sort(F.collect_list(F.to_json(F.struct(F.lit("Feature").alias("type"), "geojson", "properties")))).alias("features"))
         parts = part if parts is None else parts.unionByName(part)
     fixed = spark.createDataFrame([(str(k), str(v)) for k, v in status.items()], "k string, v string")
