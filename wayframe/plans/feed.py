@@ -6,11 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import between, edges, longest_edge, path_length, path_points
+from ..functions.geo import between, longest_edge, path_length, path_points, substring
 from ..functions.text import branch_of, line_of
 from ..operators import paths
 from ..policy import ShapePolicy
-from ..schemas import PATH_TYPE
 
 
 def seconds_of(clock: Column) -> Column:
@@ -104,13 +103,6 @@ def project_stops(route_paths: DataFrame, route_stops: DataFrame) -> DataFrame:
     return rows.groupBy("route_id").applyInPandas(run, f"route_id {kinds['route_id']}, stop_seq {kinds['stop_seq']}, stop_id {kinds['stop_id']}, fraction double")
 
 
-@F.udf(PATH_TYPE)
-def _part(path, start, end):
-    if path is None or start is None or end is None or end <= start:
-        return None
-    return paths.as_rows(paths.substring(paths.as_array(path), start, end))
-
-
 def plausible(path: Column, policy: ShapePolicy = ShapePolicy()) -> Column:
     """Null for a path with a huge straight edge, or a long one that loops."""
     ends = between(F.element_at(path, 1), F.element_at(path, -1))
@@ -133,7 +125,8 @@ def segment_paths(projected: DataFrame, route_paths: DataFrame, policy: ShapePol
     """Each stop's path to the next, or null where it is missing or implausible."""
     over = Window.partitionBy("route_id").orderBy("stop_seq")
     rows = projected.withColumn("next_fraction", F.lead("fraction").over(over)).join(route_paths.select("route_id", "path"), "route_id")
-    rows = rows.withColumn("path_to_next", plausible(_part("path", "fraction", "next_fraction"), policy)).drop("path")
+    rows = rows.withColumn("__part", substring(F.col("path"), F.col("fraction"), F.col("next_fraction")))
+    rows = rows.withColumn("path_to_next", plausible(F.col("__part"), policy)).drop("path", "__part")
     return drop_beside_discarded(rows, policy)
 
 

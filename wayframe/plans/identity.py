@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import edges, haversine
+from ..functions.geo import edges, haversine, samples
 from ..operators.relational import distance_join, top_n
 from ..streaming.bottlenecks import project
 
@@ -28,13 +28,17 @@ def sampled(positions: DataFrame, per_identity: int = 500, salt: str = "a") -> D
 
 
 def nearest_edges(positions: DataFrame, shapes: DataFrame, reach_m: float = REACH_M) -> DataFrame:
-    """Each position's nearest edge on every shape within reach: distance and place 0 to 1 by edge number."""
+    """Each position's nearest edge on every shape within reach: distance and place 0 to 1 by edge number.
+
+    Edges meet positions by samples along them, so that a long edge is found wherever it passes.
+    """
     parts = shapes.select("shape_id", F.size("path").alias("points"), F.posexplode(edges(F.col("path"))).alias("edge", "e"))
-    marks = parts.select("shape_id", F.col("e.p.lon").alias("r_lon"), F.col("e.p.lat").alias("r_lat"), "edge", "points", F.col("e.p").alias("p"), F.col("e.q").alias("q"))
-    near = distance_join(positions.select("obs_id", "identity", "lon", "lat", "heading"), marks, reach_m)
+    parts = parts.select("shape_id", "edge", "points", F.col("e.p").alias("p"), F.col("e.q").alias("q"))
+    marks = parts.select(F.col("shape_id"), "edge", F.explode(samples(F.array("p", "q"), 2 * reach_m)).alias("s")).select("shape_id", "edge", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
+    near = distance_join(positions.select("obs_id", "identity", "lon", "lat", "heading"), marks, 2 * reach_m).drop("r_lon", "r_lat", "distance_m").distinct().join(parts, ["shape_id", "edge"])
     t = project(F.col("lon"), F.col("lat"), F.col("p"), F.col("q"))
     at_lon, at_lat = F.col("p.lon") + t * (F.col("q.lon") - F.col("p.lon")), F.col("p.lat") + t * (F.col("q.lat") - F.col("p.lat"))
-    rows = near.withColumns({"off_m": haversine(F.col("lon"), F.col("lat"), at_lon, at_lat), "along": (F.col("edge") + t) / (F.col("points") - 1)})
+    rows = near.withColumns({"off_m": haversine(F.col("lon"), F.col("lat"), at_lon, at_lat), "along": (F.col("edge") + t) / (F.col("points") - 1)}).where(F.col("off_m") <= reach_m)
     best = F.min_by(F.struct("off_m", "along", "p", "q", "heading"), F.struct("off_m", "edge"))
     return rows.groupBy("identity", "obs_id", "shape_id").agg(best.alias("b")).select("identity", "obs_id", "shape_id", "b.*")
 

@@ -12,14 +12,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import angle_diff, bearing, point_path_distance
+from ..functions.geo import angle_diff, bearing, path_distance, point_path_distance, samples
 from ..operators import paths
 from ..operators.relational import distance_join, top_n
 from ..policy import DetourPolicy, InvalidField
 
+#: Requests that may be broadcast, and the side of a bucket where more meet the edges.
+MOST_BROADCAST_REQUESTS, BUCKET_DEGREES = 10_000, 0.02
 STATES = ["reached", "no_path", "no_coverage", "unmatched"]
 
 
@@ -41,14 +43,22 @@ def check_cut(cut: np.ndarray, policy: DetourPolicy = DetourPolicy()) -> None:
 def local_edges(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """Edges that touch each request's box: ``request_id`` with the edge's columns.
 
-    ``requests``: ``request_id, min_lon, min_lat, max_lon, max_lat``. Requests are few; they are sent to the edges'
-    partitions after their number is checked.
+    ``requests``: ``request_id, min_lon, min_lat, max_lon, max_lat``. While their counted number is
+    bounded they are sent to the edges' partitions; more of them meet the edges in grid buckets.
     """
     lons, lats = F.transform("path", lambda p: p["lon"]), F.transform("path", lambda p: p["lat"])
     boxed = edges.withColumns({"e_min_lon": F.array_min(lons), "e_max_lon": F.array_max(lons), "e_min_lat": F.array_min(lats), "e_max_lat": F.array_max(lats)})
-    asked = F.broadcast(requests) if requests.count() <= 10_000 else requests
-    meet = (boxed.e_max_lon >= asked.min_lon) & (boxed.e_min_lon <= asked.max_lon) & (boxed.e_max_lat >= asked.min_lat) & (boxed.e_min_lat <= asked.max_lat)
-    return boxed.join(asked.select("request_id", "min_lon", "min_lat", "max_lon", "max_lat"), meet).drop("min_lon", "min_lat", "max_lon", "max_lat", "e_min_lon", "e_max_lon", "e_min_lat", "e_max_lat")
+    asked = requests.select("request_id", "min_lon", "min_lat", "max_lon", "max_lat")
+    meet = (F.col("e_max_lon") >= F.col("min_lon")) & (F.col("e_min_lon") <= F.col("max_lon")) & (F.col("e_max_lat") >= F.col("min_lat")) & (F.col("e_min_lat") <= F.col("max_lat"))
+    if asked.count() <= MOST_BROADCAST_REQUESTS:
+        found = boxed.join(F.broadcast(asked), meet)
+    else:  # both sides meet in grid buckets; a pair counts in the first bucket that it shares
+        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / BUCKET_DEGREES), F.floor(F.col(hi) / BUCKET_DEGREES))
+        bucketed = lambda df, p: df.withColumn("__x", F.explode(span(f"{p}min_lon", f"{p}max_lon"))).withColumn("__y", F.explode(span(f"{p}min_lat", f"{p}max_lat")))
+        found = bucketed(boxed, "e_").join(bucketed(asked, ""), ["__x", "__y"]).where(meet)
+        corner = lambda a, b: F.floor(F.greatest(a, b) / BUCKET_DEGREES)
+        found = found.where((F.col("__x") == corner("e_min_lon", "min_lon")) & (F.col("__y") == corner("e_min_lat", "min_lat"))).drop("__x", "__y")
+    return found.drop("min_lon", "min_lat", "max_lon", "max_lat", "e_min_lon", "e_max_lon", "e_min_lat", "e_max_lat")
 
 
 def default_speed(traffic: DataFrame, policy: DetourPolicy = DetourPolicy()) -> DataFrame:
@@ -57,38 +67,72 @@ def default_speed(traffic: DataFrame, policy: DetourPolicy = DetourPolicy()) ->
     return traffic.agg(F.coalesce(F.percentile(usable, F.lit(0.5)), F.lit(policy.default_kmh)).alias("default_kmh"))
 
 
-def priced_edges(edges: DataFrame, traffic: DataFrame, policy: DetourPolicy = DetourPolicy()) -> DataFrame:
-    """``edges`` with seconds forward and backward, and where the speed came from.
+# fixed values: the traffic category that serves each street class
+CATEGORIES = {
+    "motorway": ["motorway", "motorway_link"], "trunk": ["trunk", "trunk_link"], "primary": ["primary", "primary_link"], "secondary": ["secondary", "secondary_link"],
+    "tertiary": ["tertiary", "tertiary_link"], "street": ["residential", "living_street", "unclassified"],
+}
+
+
+def category_of(kind: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for category, kinds in CATEGORIES.items():
+        out = F.when(kind.isin(kinds), category).otherwise(out)
+    return out
 
-    A near traffic segment in the edge's direction gives the speed, else the median of the nearest
-    segments of the same category, else the default. A closure is no source of speed and no block.
-    ``edges``: ``edge_id, kind, cost, reverse_cost, path``.
+
+def priced_edges(edges: DataFrame, traffic: DataFrame, policy: DetourPolicy = DetourPolicy()) -> DataFrame:
+    """``edges`` with seconds forward and backward, and where the speeds came from.
+
+    The nearest traffic segment within ``match_m`` that runs along the edge's line serves the way
+    forward if it covers the full road, or one side in the edge's direction; the way back if it
+    covers the full road or the other side. A match without a usable speed, a closure included, is
+    no source; then the median of the nearest segments (one for each source) of the compatible
+    category counts, given enough of them, else the snapshot's median or the default. A blocked edge costs -1.
+    ``edges``: ``edge_id, kind, cost, reverse_cost, path`` and, if there, ``blocked``;
+    ``traffic``: ``source_id, road_category, road_coverage, speed_kph, has_speed, closure, path``
+    and, if there, ``ordinal``, which parts equally near segments.
     """
     first, last = (lambda c: F.element_at(F.col(c), 1)), (lambda c: F.element_at(F.col(c), -1))
-    middle = lambda c, axis: (first(c)[axis] + last(c)[axis]) / 2
     azimuth = lambda c: bearing(first(c)["lon"], first(c)["lat"], last(c)["lon"], last(c)["lat"])
-    e = edges.withColumns({"lon": middle("path", "lon"), "lat": middle("path", "lat"), "azimuth": azimuth("path")})
-    t = traffic.where(F.col("has_speed") & ~F.col("closure")).withColumn("t_path", F.col("path"))
-    t = t.select("source_id", "road_category", "road_coverage", "speed_kph", "t_path", middle("t_path", "lon").alias("r_lon"), middle("t_path", "lat").alias("r_lat"), azimuth("t_path").alias("t_azimuth"))
-    e_ids = e.select("edge_id", "kind", "azimuth", "lon", "lat")
-    near = distance_join(e_ids, t, policy.estimate_m + 200.0).withColumn("line_m", point_path_distance(F.col("lon"), F.col("lat"), F.col("t_path")))
-    out = e.drop("lon", "lat", "azimuth")
-    for side, turn in (("forward", 0.0), ("backward", 180.0)):
-        fits = (F.col("line_m") <= policy.match_m) & (angle_diff(F.col("azimuth") + turn, F.col("t_azimuth")) <= policy.match_angle)
-        direct = near.where(fits).groupBy("edge_id").agg(F.min_by("speed_kph", F.struct("line_m", "source_id")).alias(f"{side}_direct"))
-        if side == "backward":  # a segment that covers both sides also serves the way back
-            full = near.where((F.col("line_m") <= policy.match_m) & (F.col("road_coverage") == "full")).groupBy("edge_id").agg(F.min_by("speed_kph", F.struct("line_m", "source_id")).alias("__full"))
-            out = out.join(full, "edge_id", "left")
-        out = out.join(direct, "edge_id", "left")
-    same = near.where((F.col("road_category") == F.col("kind")) & (F.col("line_m") <= policy.estimate_m))
-    closest = top_n(same, ["edge_id"], [F.asc("line_m"), F.asc("source_id")], policy.max_samples)
-    median = closest.groupBy("edge_id").agg(F.percentile("speed_kph", F.lit(0.5)).alias("near_kmh"), F.count(F.lit(1)).alias("samples")).where(F.col("samples") >= policy.min_samples)
-    out = out.join(median.drop("samples"), "edge_id", "left").crossJoin(F.broadcast(default_speed(traffic, policy)))
-    back = F.coalesce("backward_direct", "__full")
-    kmh_f, kmh_b = F.coalesce("forward_direct", "near_kmh", "default_kmh"), F.coalesce(back, "near_kmh", "default_kmh")
-    source = F.when(F.col("forward_direct").isNotNull(), "traffic").when(F.col("near_kmh").isNotNull(), "nearby").otherwise("default")
-    out = out.withColumns({"seconds": F.col("cost") / (kmh_f / 3.6), "reverse_seconds": F.when(F.col("reverse_cost") < 0, -1.0).otherwise(F.col("cost") / (kmh_b / 3.6)), "source_of_speed": source})
-    return out.drop("forward_direct", "backward_direct", "__full", "near_kmh", "default_kmh")
+    tie = F.col("ordinal").cast("long") if "ordinal" in traffic.columns else F.xxhash64("source_id", F.to_json("path"))
+    t = traffic.select(
+        tie.alias("t_id"), "source_id", "road_category", "road_coverage", F.col("path").alias("t_path"), azimuth("path").alias("t_azimuth"),
+        F.when(F.col("has_speed") & ~F.col("closure") & (F.col("speed_kph") > 0), F.col("speed_kph")).alias("kmh"),
+    )
+    e = edges.select("edge_id", "kind", (F.col("reverse_cost") > 0).alias("both_ways"), "path", azimuth("path").alias("azimuth"))
+    # lines meet by samples, as no part of a line is farther than half a step from one
+    reach = policy.estimate_m
+    a = e.select("edge_id", F.explode(samples(F.col("path"), reach)).alias("s")).select("edge_id", "s.lon", "s.lat")
+    b = t.select("t_id", F.explode(samples(F.col("t_path"), reach)).alias("s")).select("t_id", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
+    pairs = distance_join(a, b, 2 * reach).select("edge_id", "t_id").distinct()
+    near = pairs.join(e, "edge_id").join(t, "t_id").withColumn("line_m", path_distance(F.col("path"), F.col("t_path"))).where(F.col("line_m") <= reach)
+    angle = angle_diff(F.col("azimuth"), F.col("t_azimuth"))
+    along = (F.col("line_m") <= policy.match_m) & (F.least(angle, 180 - angle) <= policy.match_angle)
+    full, one = F.col("road_coverage") == "full", F.col("road_coverage") == "one_side"
+    ahead = along & (full | (one & (angle <= 90)))
+    back = along & F.col("both_ways") & (full | (one & (angle > 90)))
+    order, speed = F.struct("line_m", "t_id"), F.struct("kmh")
+    direct = near.groupBy("edge_id").agg(F.min_by(F.when(ahead, speed), F.when(ahead, order))["kmh"].alias("forward_kmh"), F.min_by(F.when(back, speed), F.when(back, order))["kmh"].alias("backward_kmh"))
+    same = near.where((F.col("road_category") == category_of(F.col("kind"))) & F.col("kmh").isNotNull())
+    sources = same.groupBy("edge_id", "source_id").agg(F.min(F.struct("line_m", "kmh")).alias("n")).select("edge_id", "source_id", "n.line_m", "n.kmh")
+    closest = top_n(sources, ["edge_id"], [F.asc("line_m"), F.asc("source_id")], policy.max_samples)
+    median = closest.groupBy("edge_id").agg(F.percentile("kmh", F.lit(0.5)).alias("near_kmh"), F.count(F.lit(1)).alias("samples")).where(F.col("samples") >= policy.min_samples)
+    out = edges.join(direct, "edge_id", "left").join(median.drop("samples"), "edge_id", "left").crossJoin(F.broadcast(default_speed(traffic, policy)))
+    shut = F.coalesce(F.col("blocked"), F.lit(False)) if "blocked" in edges.columns else F.lit(False)
+
+    def side(own: str, closed: Column):
+        kmh = F.coalesce(own, "near_kmh", "default_kmh")
+        source = F.when(F.col(own).isNotNull(), "traffic").when(F.col("near_kmh").isNotNull(), "nearby").otherwise("default")
+        return F.when(closed, -1.0).otherwise(F.col("cost") / (kmh / 3.6)), source
+
+    seconds, source = side("forward_kmh", shut)
+    reverse, reverse_source = side("backward_kmh", shut | (F.col("reverse_cost") <= 0))
+    out = out.withColumns({
+        "seconds": seconds, "reverse_seconds": reverse, "source_of_speed": F.when(shut, "blocked").otherwise(source),
+        "reverse_source": F.when(shut | (F.col("reverse_cost") <= 0), "not_allowed").otherwise(reverse_source),
+    })
+    return out.drop("forward_kmh", "backward_kmh", "near_kmh", "default_kmh")
 
 
 def trace(priced: DataFrame) -> DataFrame:
@@ -112,12 +156,7 @@ def snap(points: DataFrame, edges: DataFrame, policy: DetourPolicy = DetourPolic
             out.append((float(paths.distance_to_path(np.array([[x, y]]), line)[0]), f, paths.bearing(a, b)))
         return pd.DataFrame(out, columns=["distance", "fraction", "heading"])
 
-    @F.udf("array<struct<lon:double,lat:double>>")
-    def samples(path):
-        line = paths.as_array(path)
-        return paths.as_rows(np.vstack([line[:1], paths.densify(line, policy.snap_m)[0], line[-1:]]))
-
-    marks = edges.withColumn("s", F.explode(samples("path"))).select("edge_id", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
+    marks = edges.withColumn("s", F.explode(samples(F.col("path"), policy.snap_m))).select("edge_id", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
     near = distance_join(points, marks, 2 * policy.snap_m).select("point_id", "lon", "lat", "heading", "edge_id").distinct()
     rows = near.join(edges.select("edge_id", "path", "reverse_cost", "blocked"), "edge_id").withColumn("o", on_edge("lon", "lat", "path")).where(F.col("o.distance") <= policy.snap_m)
     off = angle_diff(F.col("heading"), F.col("o.heading"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.agg import weighted_median
-from ..functions.geo import angle_diff, bearing, haversine, path_length
+from ..functions.geo import angle_diff, bearing, haversine, path_length, samples
 from ..operators import paths
 from ..operators.relational import band_lookup, distance_join, prefix_sum
 from ..policy import DemandPolicy, InvalidField, RevenuePolicy, TravelTimePolicy
@@ -66,11 +66,6 @@ def segment_references(segments: DataFrame, timed: DataFrame, policy: TravelTime
     """
     reach = max(policy.radii_m)
 
-    @F.udf("array<struct<lon:double,lat:double>>")
-    def samples(path):
-        p = paths.as_array(path)
-        return paths.as_rows(np.vstack([p[:1], paths.densify(p, reach)[0], p[-1:]]))
-
     @F.pandas_udf("distance double, overlap double")
     def measured(a: pd.Series, b: pd.Series, radius: pd.Series) -> pd.DataFrame:
         out = []
@@ -85,9 +80,9 @@ def segment_references(segments: DataFrame, timed: DataFrame, policy: TravelTime
     azimuth = lambda c: bearing(first(F.col(c))["lon"], first(F.col(c))["lat"], last(F.col(c))["lon"], last(F.col(c))["lat"])
     kmh = F.col("metres") / F.col("typical_s") * 3.6
     usable = timed.where((F.col("typical_s") > 0) & kmh.between(policy.min_kmh, policy.max_kmh)).withColumn("ref_azimuth", azimuth("ref_path"))
-    a = segments.withColumn("azimuth", azimuth("path")).withColumn("s", F.explode(samples("path"))).select("route_id", "segment", "azimuth", F.col("s.lon").alias("lon"), F.col("s.lat").alias("lat"))
+    a = segments.withColumn("azimuth", azimuth("path")).withColumn("s", F.explode(samples(F.col("path"), reach))).select("route_id", "segment", "azimuth", F.col("s.lon").alias("lon"), F.col("s.lat").alias("lat"))
     b = usable.withColumn("ref_id", F.xxhash64("ref_route", F.to_json("ref_path"), "metres", "typical_s"))
-    s = b.withColumn("s", F.explode(samples("ref_path"))).select("ref_id", "ref_azimuth", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
+    s = b.withColumn("s", F.explode(samples(F.col("ref_path"), reach))).select("ref_id", "ref_azimuth", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
     near = distance_join(a, s, 2 * reach, where=angle_diff(F.col("azimuth"), F.col("ref_azimuth")) <= policy.max_angle)
     pairs = near.select("route_id", "segment", "ref_id").distinct().join(segments.select("route_id", "segment", "path"), ["route_id", "segment"]).join(b, "ref_id")
     rows = None
@@ -251,6 +246,28 @@ def detour_pair_distances(pairs: DataFrame, places: DataFrame) -> DataFrame:
     return pairs.join(o, ["route_id", "origin_order"]).join(d, ["route_id", "dest_order"]).withColumn("distance_m", F.col("to_m") - F.col("from_m")).drop("from_m", "to_m")
 
 
+def compare_detours(
+    baseline_stops: DataFrame, detour_stops: DataFrame, cells: DataFrame, matrix: DataFrame, bands: DataFrame, jurisdiction: str, paces: DataFrame, fallback: DataFrame,
+    grid=None, demand: DemandPolicy = DemandPolicy(), revenue: RevenuePolicy = RevenuePolicy(),
+) -> DataFrame:
+    """Changes from routes to their detours, whose riders pay for the distance along the baseline.
+
+    ``baseline_stops`` as in ``simulate``, with ``path_before`` (the path from the stop before);
+    ``detour_stops`` as in ``simulate``. Routes without a detour are left out.
+    """
+    before = simulate(baseline_stops.drop("path_before"), cells, matrix, bands, jurisdiction, paces, fallback, grid, demand, revenue)
+    run = Window.partitionBy("route_id").orderBy("stop_order").rowsBetween(Window.unboundedPreceding, -1)
+    along = baseline_stops.withColumn("at_m", F.coalesce(F.sum("metres").over(run), F.lit(0.0))).select("route_id", "stop_id", "at_m", "path_before")
+    places = project_detour_stops(detour_stops.select("route_id", "stop_order", "stop_id", "lon", "lat"), along)
+    pairs = detour_pair_distances(route_demand(detour_stops, cells, matrix, grid, demand), places)
+    money = pair_revenue(pairs, bands, jurisdiction, revenue).groupBy("route_id").agg(F.sum("gross").alias("gross"), F.sum("potential").alias("potential"), F.sum("revenue_cents").alias("revenue_cents"))
+    segments = detour_stops.where("metres IS NOT NULL").select("route_id", F.col("stop_order").alias("segment"), "metres")
+    times = route_time(travel_time(segments, paces, fallback))
+    stops = detour_stops.groupBy("route_id").agg(F.count(F.lit(1)).alias("stops"))
+    after = stops.join(times, "route_id", "left").join(money, "route_id", "left").na.fill(0.0, ["gross", "potential", "revenue_cents"])
+    return compare(before, after)
+
+
 def precompute(routes: DataFrame, simulated: DataFrame, old: DataFrame | None = None, only_missing: bool = False) -> DataFrame:
     """Catalogue figures of every route, rounded half to even, with a status: done, kept, skipped or failed."""
     rows = routes.select("route_id", "simulable").join(simulated.select("route_id", "potential", "revenue_cents", "typical_s"), "route_id", "left")

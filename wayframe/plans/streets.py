@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import path_length, valid_path
+from ..functions.geo import path_length, path_points, valid_path
 from ..operators.relational import largest_component
 
 # fixed values: classes open to buses, tag values that close a way, and one-way values
@@ -19,6 +19,30 @@ BUS_TAGS = ["bus", "psv"]
 RESTRICTION_TAGS = ["restriction:bus", "restriction:psv", "restriction"]
 
 
+def import_network(nodes: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and undirected edges of a street extract: ways cut at their ends and where they share a node.
+
+    ``nodes``: ``id, lon, lat``; ``ways``: ``way_id, tags, refs``. References to unknown nodes are passed over.
+    Returns ``id, lon, lat`` and ``edge_id, way_id, source, target, tags, path``.
+    """
+    at = nodes.select(F.col("id").alias("ref"), "lon", "lat")
+    rows = ways.select("way_id", F.posexplode("refs").alias("pos", "ref")).join(at, "ref")
+    over = Window.partitionBy("way_id").orderBy("pos")
+    used = rows.groupBy("ref").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    rows = rows.join(used, "ref").withColumn("end", F.lag("ref").over(over).isNull() | F.lead("ref").over(over).isNull())
+    rows = rows.withColumn("cut", F.col("shared") | F.col("end"))
+    # an inner vertex ends one piece and begins the next
+    piece = F.sum(F.col("cut").cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("piece", piece)
+    both = rows.select("way_id", "piece", "pos", "ref", "lon", "lat").unionByName(rows.where("cut AND piece > 1").select("way_id", (F.col("piece") - 1).alias("piece"), "pos", "ref", "lon", "lat"))
+    edges = both.groupBy("way_id", "piece").agg(
+        F.min_by("ref", "pos").alias("source"), F.max_by("ref", "pos").alias("target"), path_points(F.col("pos"), F.col("lon"), F.col("lat")).alias("path"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1")
+    edges = edges.join(ways.select("way_id", "tags"), "way_id")
+    vertices = rows.where("cut").select(F.col("ref").alias("id"), "lon", "lat").distinct()
+    return vertices, edges.select((F.col("way_id") * 4096 + F.col("piece")).alias("edge_id"), "way_id", "source", "target", "tags", "path")
+
+
 def usable_ways(ways: DataFrame) -> DataFrame:
     """Ways a bus may use. ``ways``: ``way_id, tags`` (map), and what else there is."""
     tag = lambda k: F.col("tags")[k]
@@ -40,7 +64,7 @@ def directed_edges(edges: DataFrame) -> DataFrame:
     source = F.when(F.col("__turned"), F.col("target")).otherwise(F.col("source"))
     target = F.when(F.col("__turned"), F.col("source")).otherwise(F.col("target"))
     return rows.select(
-        "edge_id", source.alias("source"), target.alias("target"), F.col("__length").alias("cost"), F.when(single, -1.0).otherwise(F.col("__length")).alias("reverse_cost"),
+        "edge_id", *[c for c in ("way_id",) if c in edges.columns], source.alias("source"), target.alias("target"), F.col("__length").alias("cost"), F.when(single, -1.0).otherwise(F.col("__length")).alias("reverse_cost"),
         F.when(F.col("__turned"), F.reverse("path")).otherwise(F.col("path")).alias("path"), F.col("tags")["highway"].alias("kind"), F.col("tags")["name"].alias("name"),
     )
 

@@ -12,10 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_M, between, edges, point_edge_distance
+from ..functions.geo import DEGREE_M, between, edges, point_edge_distance, samples, substring
 from ..operators.relational import distance_join, local_minima
 from ..policy import BottleneckPolicy
-from ..schemas import PATH_TYPE
 
 PASSAGE = "sector int, entered_at double, exited_at double, duration_s double, kmh double, inner_count int, max_gap_s double, same_interval boolean"
 RESULT = f"kind string, reason string, {PASSAGE}"
@@ -44,18 +43,11 @@ def layout(shapes: DataFrame, policy: BottleneckPolicy = BottleneckPolicy()) ->
     return rows.select("shape_id", "sector", (F.col("sector") * n).alias("start_m"), end.alias("end_m"), "count")
 
 
-@F.udf(PATH_TYPE)
-def _between(path, start, end):
-    from ..operators import paths
-
-    return paths.as_rows(paths.substring(paths.as_array(path), start, end))
-
-
 def sector_paths(sectors: DataFrame, shapes: DataFrame) -> DataFrame:
     """Each sector's path by fractions of the length; the last ends at the path's end."""
     rows = sectors.join(shapes.select("shape_id", "path", "length_m"), "shape_id")
     end = F.when(F.col("sector") == F.col("count") - 1, 1.0).otherwise(F.col("end_m") / F.col("length_m"))
-    return rows.withColumn("path", _between("path", F.col("start_m") / F.col("length_m"), end)).drop("length_m")
+    return rows.withColumn("path", substring(F.col("path"), F.col("start_m") / F.col("length_m"), end)).drop("length_m")
 
 
 # candidates
@@ -86,16 +78,8 @@ def candidates(observations: DataFrame, shapes: DataFrame, policy: BottleneckPol
     """
     reach = policy.max_distance_m
 
-    @F.udf("array<struct<lon:double,lat:double>>")
-    def samples(p, q):
-        from ..operators import paths
-        import numpy as np
-
-        line = np.array([[p["lon"], p["lat"]], [q["lon"], q["lat"]]])
-        return paths.as_rows(np.vstack([line, paths.densify(line, 2 * reach)[0]]))
-
     parts = shape_edges(shapes)
-    marks = parts.withColumn("s", F.explode(samples("p", "q"))).select(F.col("shape_id").alias("e_shape"), "edge", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
+    marks = parts.withColumn("s", F.explode(samples(F.array("p", "q"), 2 * reach))).select(F.col("shape_id").alias("e_shape"), "edge", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
     near = distance_join(observations.select("obs_id", "shape_id", "lon", "lat"), marks, 2.1 * reach, on=[("shape_id", "e_shape")]).select("obs_id", "shape_id", "edge", "lon", "lat").distinct()
     rows = near.join(parts, ["shape_id", "edge"])
     rows = rows.withColumn("distance_m", point_edge_distance(F.col("lon"), F.col("lat"), F.col("p.lon"), F.col("p.lat"), F.col("q.lon"), F.col("q.lat"))).where(F.col("distance_m") <= reach)
