@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import checkpointed
 from ..operators.relational import distance_join, page
 from ..policy import TransferPolicy, clamp_page
 
@@ -38,7 +39,7 @@ def itineraries(pairs: DataFrame, service: DataFrame, transfers: DataFrame, rout
     d = service.select(F.col("cell").alias("dest"), F.col("route_id").alias("r2"), F.col("max_seq").alias("leave_seq"))
     same = pairs.join(o, "origin").join(d.withColumnRenamed("r2", "r1"), ["dest", "r1"])
     direct = same.where("leave_seq > board_seq").select("origin", "dest").distinct()
-    left = pairs.join(direct, ["origin", "dest"], "left_anti")
+    left = checkpointed(pairs.join(direct, ["origin", "dest"], "left_anti"))
     rows = left.join(o, "origin").join(transfers, "r1").join(d, ["dest", "r2"])
     off = route_stops.groupBy(F.col("route_id").alias("r1"), F.col("stop_id").alias("from_stop")).agg(F.max("stop_seq").alias("off_seq"))
     on = route_stops.groupBy(F.col("route_id").alias("r2"), F.col("stop_id").alias("to_stop")).agg(F.min("stop_seq").alias("on_seq"))
@@ -47,9 +48,14 @@ def itineraries(pairs: DataFrame, service: DataFrame, transfers: DataFrame, rout
 
 
 def attribute(od: DataFrame, routes: DataFrame, policy: TransferPolicy = TransferPolicy()) -> DataFrame:
-    """Trips of each cell pair and hour split evenly over its itineraries; pairs with too many are left out."""
-    counted = routes.groupBy("origin", "dest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= policy.max_alternatives)
-    rows = routes.join(counted, ["origin", "dest"]).join(od, ["origin", "dest"])
+    """Trips of each cell pair and hour split evenly over its itineraries; pairs with too many are left out.
+
+    One itinerary more than allowed is enough to tell a pair with too many, and the limit is
+    applied before the shuffle, so such a pair never gathers all of its own.
+    """
+    pair = Window.partitionBy("origin", "dest")
+    first = routes.withColumn("k", F.row_number().over(pair.orderBy("r1", "r2"))).where(F.col("k") <= policy.max_alternatives + 1)
+    rows = first.withColumn("n", F.count(F.lit(1)).over(pair)).where(F.col("n") <= policy.max_alternatives).join(od, ["origin", "dest"])
     return rows.select("origin", "dest", "r1", "r2", "hour", "n", (F.col("trips") / F.col("n")).alias("trips"))
 
 
@@ -63,7 +69,11 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rank_transfers(attributed: DataFrame) -> DataFrame:
-    """Rankings per hour, and of the whole day (null hour) with the hour of the single largest flow as its peak."""
+    """Rankings per hour, and of the whole day (null hour) with the hour of the single largest flow as its peak.
+
+    The attributed flows are written once and read by all three aggregations.
+    """
+    attributed = checkpointed(attributed)
     hourly = _ranked(attributed, ["r1", "r2", "hour"]).withColumn("peak_hour", F.col("hour"))
     peak = attributed.groupBy("r1", "r2").agg(F.min_by("hour", F.struct((-F.col("trips")).alias("t"), "hour")).alias("peak_hour"))
     daily = _ranked(attributed, ["r1", "r2"]).withColumn("hour", F.lit(None).cast(attributed.schema["hour"].dataType)).join(peak, ["r1", "r2"])
@@ -87,10 +97,10 @@ def ranking_page(ranking: DataFrame, routes: DataFrame, cells: DataFrame, hour:
 
 
 def build_ranking(od: DataFrame, cells: DataFrame, route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy()) -> DataFrame:
-    """The whole pipeline from cell pairs by hour to the ranking."""
-    points = transfer_points(route_stops, stops, policy)
-    service = cell_service(cells, route_stops, stops, policy)
-    found = itineraries(od.select("origin", "dest").distinct(), service, points.select("r1", "r2", "from_stop", "to_stop"), route_stops)
+    """The whole pipeline from cell pairs by hour to the ranking; what several steps read is written once."""
+    od, points = checkpointed(od), checkpointed(transfer_points(route_stops, stops, policy).select("r1", "r2", "from_stop", "to_stop"))
+    service = checkpointed(cell_service(cells, route_stops, stops, policy))
+    found = itineraries(od.select("origin", "dest").distinct(), service, points, route_stops)
     return rank_transfers(attribute(od, found, policy))
 
 
