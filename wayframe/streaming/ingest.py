@@ -60,11 +60,13 @@ def sessions(stream: DataFrame, gap: str = "5 minutes", delay: str = "10 minutes
 STATE = "first_at double, last_at double, confirmed_at double, at_a double, at_b double, min_distance double, speed_a double, speed_b double, observations int, missing int, is_open boolean, closed_a double, closed_b double"
 
 
-def bunching_stream(steps: DataFrame, policy: BunchingPolicy = BunchingPolicy()) -> DataFrame:
+def bunching_stream(steps: DataFrame, policy: BunchingPolicy = BunchingPolicy(), delay: str = "1 minute") -> DataFrame:
     """Episodes from a stream of key steps: an open or updated episode on each change, and its close.
 
     ``steps``: ``scope, a, b, received_at, partial, novel, distance, at_a, at_b, speed_a, speed_b, scope_a, scope_b`` (nulls
-    for absent vehicles). The state of a key is its open episode and the last closed samples.
+    for absent vehicles). The state of a key is its open episode and the last closed samples. When the
+    watermark on the time of receipt passes the maximum age after the last confirmation, a timer closes the
+    episode as expired; a key without an episode is forgotten once its samples can't be fresh any more.
     """
     import pandas as pd
 
@@ -77,19 +79,29 @@ def bunching_stream(steps: DataFrame, policy: BunchingPolicy = BunchingPolicy())
             machine.closed_a, machine.closed_b = s[11], s[12]
             if s[10]:
                 machine.open = Episode(s[0], s[1], s[2], s[3], s[4], s[5], s[6], s[7], s[8], s[9])
-        rows = pd.concat(list(frames)).sort_values("received_at")
-        for r in rows.itertuples():
-            side = lambda t, v, scope: None if pd.isna(t) else {"t": t, "v": v, "scope": scope}
-            distance = None if pd.isna(r.distance) else float(r.distance)
-            machine.step(r.received_at, bool(r.partial), bool(r.novel), side(r.at_a, r.speed_a, r.scope_a), side(r.at_b, r.speed_b, r.scope_b), distance)
-        e = machine.open
-        kept = (e.first_at, e.last_at, e.confirmed_at, e.at_a, e.at_b, e.min_distance, e.speed_a, e.speed_b, e.observations, e.missing, True) if e else (0.0,) * 8 + (0, 0, False)
-        state.update(kept + (machine.closed_a, machine.closed_b))
+        latest = 0.0
+        if state.hasTimedOut:
+            if machine.open:
+                machine._close("expired", machine.open.confirmed_at + policy.max_age_s)
+            state.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values("received_at")
+            for r in rows.itertuples():
+                side = lambda t, v, scope: None if pd.isna(t) else {"t": t, "v": v, "scope": scope}
+                distance = None if pd.isna(r.distance) else float(r.distance)
+                machine.step(r.received_at, bool(r.partial), bool(r.novel), side(r.at_a, r.speed_a, r.scope_a), side(r.at_b, r.speed_b, r.scope_b), distance)
+                latest = max(latest, r.received_at)
+            e = machine.open
+            kept = (e.first_at, e.last_at, e.confirmed_at, e.at_a, e.at_b, e.min_distance, e.speed_a, e.speed_b, e.observations, e.missing, True) if e else (0.0,) * 8 + (0, 0, False)
+            state.update(kept + (machine.closed_a, machine.closed_b))
+            until = (e.confirmed_at if e else latest + policy.max_skew_s) + policy.max_age_s
+            state.setTimeoutTimestamp(max(int(until * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         out = pd.DataFrame(machine.rows(), columns=COLUMNS).astype({"closed_at": "float64", "observations": "int32", "missing": "int32"})
         out.insert(0, "scope", key[0]), out.insert(1, "a", key[1]), out.insert(2, "b", key[2])
         yield out
 
     kinds = dict(steps.dtypes)
-    return steps.groupBy("scope", "a", "b").applyInPandasWithState(
-        run, f"scope {kinds['scope']}, a {kinds['a']}, b {kinds['b']}, {EVENT}", STATE, "update", GroupStateTimeout.NoTimeout
+    timed = steps.withColumn("__at", F.timestamp_micros((F.col("received_at") * 1e6).cast("long"))).withWatermark("__at", delay)
+    return timed.groupBy("scope", "a", "b").applyInPandasWithState(
+        run, f"scope {kinds['scope']}, a {kinds['a']}, b {kinds['b']}, {EVENT}", STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
