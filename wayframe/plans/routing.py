@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import angle_diff, bearing, path_distance, point_path_distance, samples
+from ..functions.geo import DEGREE_M, angle_diff, bearing, path_distance, point_path_distance, samples
 from ..operators import paths
+from ..operators.checkpoints import checkpointed
 from ..operators.relational import distance_join, top_n
 from ..policy import DetourPolicy, InvalidField
 
@@ -208,21 +209,69 @@ class Graph:
         p, q = (self.paths[e][:: 1 if s > 0 else -1] for e, s in (a, b))
         return paths.turn(paths.bearing(p[-2], p[-1]), paths.bearing(q[0], q[1])) >= policy.reversal_angle
 
-    def route(self, start: tuple[int, float], end: tuple[int, float], policy: DetourPolicy = DetourPolicy(), directed: bool = True) -> dict | None:
+    def bearing_at(self, edge: int, sign: int, fraction: float) -> float | None:
+        """Direction of travel at a place; None without a path."""
+        if edge not in self.paths:
+            return None
+        line = self.paths[edge]
+        a, b = paths.interpolate(line, max(0.0, fraction - 0.01)), paths.interpolate(line, min(1.0, fraction + 0.01))
+        return paths.bearing(a, b) if sign > 0 else paths.bearing(b, a)
+
+    def turns_across(self, edges: list[tuple[int, int]], parts: list[np.ndarray], policy: DetourPolicy) -> bool:
+        """Does a way turn back over a short connector, as across the divide of an avenue?
+
+        It does when it leaves a piece against the direction in which it came to an earlier one, with at
+        most ``crossing_m`` between them; links and roundabouts may. Pieces under 5 m have no direction.
+        """
+        sizes = [paths.length_m(p) for p in parts]
+        free = ["link" in self.kinds[e] or "roundabout" in self.kinds[e] for e, _ in edges]
+
+        def near_end(line: np.ndarray, size: float, end: bool) -> float:
+            share = min(1.0, 15.0 / size)
+            return paths.bearing(paths.interpolate(line, 1 - share), line[-1]) if end else paths.bearing(line[0], paths.interpolate(line, share))
+
+        for i, size in enumerate(sizes):
+            if size < 5 or free[i]:
+                continue
+            arrives, between = near_end(parts[i], size, True), 0.0
+            for j in range(i + 1, min(i + 7, len(parts))):
+                if between > policy.crossing_m or (j > i + 1 and free[j - 1]):
+                    break
+                if sizes[j] >= 5 and not free[j] and paths.turn(arrives, near_end(parts[j], sizes[j], False)) >= policy.reversal_angle:
+                    return True
+                between += sizes[j]
+        return False
+
+    def route(
+        self, start: tuple[int, float], end: tuple[int, float], policy: DetourPolicy = DetourPolicy(), directed: bool = True,
+        leave: float | None = None, arrive: float | None = None,
+    ) -> dict | None:
         """Cheapest way between two places (edge, fraction): ``cost, edges`` [(edge, sign)], ``path``.
 
-        States are directed edges, so turns can be refused; ties go to the smaller edges.
+        States are directed edges, so turns can be refused; ties go to the smaller edges. ``leave`` and
+        ``arrive`` are directions that the ends must agree with. A way that turns back across a divided
+        road is none. Every pair of places is solved by itself, so no other place is a node to turn at.
         """
+        found = self._cheapest(start, end, policy, directed, leave, arrive)
+        if found and directed and found["parts"] is not None and self.turns_across(found["edges"], found["parts"], policy):
+            return None
+        return found and {k: v for k, v in found.items() if k != "parts"}
+
+    def _fits(self, edge: int, sign: int, fraction: float, wanted: float | None, policy: DetourPolicy) -> bool:
+        at = None if wanted is None else self.bearing_at(edge, sign, fraction)
+        return at is None or paths.turn(at, wanted) <= policy.match_angle
+
+    def _cheapest(self, start, end, policy, directed, leave, arrive) -> dict | None:
         (e0, f0), (e1, f1) = start, end
         best: dict[tuple[int, int], float] = {}
         back: dict[tuple[int, int], tuple[int, int] | None] = {}
         goal = None
         heap: list[tuple[float, int, int, bool]] = []
         for sign in (1, -1):
-            if (e0, sign) not in self.cost:
+            if (e0, sign) not in self.cost or not self._fits(e0, sign, f0, leave, policy):
                 continue
             left = (1 - f0) if sign > 0 else f0
-            if e0 == e1 and (f1 - f0) * sign >= 0:
+            if e0 == e1 and (f1 - f0) * sign >= 0 and self._fits(e1, sign, f1, arrive, policy):
                 value = self.cost[e0, sign] * abs(f1 - f0)
                 if goal is None or value < goal[0]:
                     goal = (value, [(e0, sign)])
@@ -238,7 +287,7 @@ class Graph:
             for nxt in self.leaving.get(at, ()):
                 if directed and ((edge, nxt[0], at) in self.forbidden or self.reversal(state, nxt, policy)):
                     continue
-                if nxt[0] == e1:
+                if nxt[0] == e1 and self._fits(*nxt, f1, arrive, policy):
                     share = f1 if nxt[1] > 0 else 1 - f1
                     total = value + self.cost[nxt] * share
                     if goal is None or total < goal[0] - 1e-12:
@@ -249,7 +298,8 @@ class Graph:
                     heapq.heappush(heap, (whole, nxt[0], nxt[1], False))
         if goal is None:
             return None
-        return {"cost": goal[0], "edges": goal[1], "path": self._shape(goal[1], f0, f1)}
+        path, pieces = self._shape(goal[1], f0, f1)
+        return {"cost": goal[0], "edges": goal[1], "path": path, "parts": pieces}
 
     @staticmethod
     def _trace(back, state, first) -> list[tuple[int, int]]:
@@ -262,16 +312,18 @@ class Graph:
                 return [before[1:]] + out[::-1]
             out.append(before)
 
-    def _shape(self, edges: list[tuple[int, int]], f0: float, f1: float) -> np.ndarray | None:
-        parts = []
+    def _shape(self, edges: list[tuple[int, int]], f0: float, f1: float) -> tuple[np.ndarray | None, list[np.ndarray] | None]:
+        """The way's line, and each edge's part of it."""
+        parts, pieces = [], []
         for k, (edge, sign) in enumerate(edges):
             a = f0 if k == 0 else (0.0 if sign > 0 else 1.0)
             b = f1 if k == len(edges) - 1 else (1.0 if sign > 0 else 0.0)
             if edge not in self.paths:
-                return None
+                return None, None
             part = paths.substring(self.paths[edge], a, b)
+            pieces.append(part)
             parts.append(part if not parts else part[1:] if np.allclose(part[0], parts[-1][-1] if len(parts[-1]) else part[0]) else part)
-        return np.vstack(parts) if parts else None
+        return (np.vstack(parts) if parts else None), pieces
 
 
 def build_graph(edges: pd.DataFrame, restrictions: list[tuple[int, int, int]] = (), cost: str = "seconds", reverse: str = "reverse_seconds", undirected: bool = False) -> Graph:
@@ -289,57 +341,119 @@ def solve_pairs(edges: DataFrame, pairs: DataFrame, restrictions: DataFrame | No
     from_fraction, to_edge, to_fraction`` (null edges: unmatched); ``restrictions``: ``from_edge, to_edge, via``. Without a
     way, lengths alone tell a missing path from missing coverage.
     """
-    kinds = dict(edges.dtypes)
     kind = F.col("kind") if "kind" in edges.columns else F.lit("")
-    asked = pairs.groupBy("request_id").agg(F.collect_list(F.struct("pair_id", "from_edge", "from_fraction", "to_edge", "to_fraction")).alias("pairs"))
     rows = edges.select("request_id", "edge_id", "source", "target", F.col(cost).alias("c"), F.col(reverse).alias("r"), F.col("cost").alias("m"), F.col("reverse_cost").alias("mr"), "path", kind.alias("kind"))
-    rules = edges.select("request_id", F.col("edge_id").alias("from_edge"))
-    if restrictions is not None:
-        rules = rules.join(restrictions, "from_edge").groupBy("request_id").agg(F.collect_list(F.struct("from_edge", "to_edge", "via")).alias("rules"))
-        rows = rows.join(rules, "request_id", "left")
-    else:
-        rows = rows.withColumn("rules", F.lit(None).cast("array<struct<from_edge:long,to_edge:long,via:long>>"))
-    rows = rows.join(asked, "request_id")
+    asked = _asked(edges, pairs.select("request_id", "pair_id", "from_edge", "from_fraction", "to_edge", "to_fraction"), restrictions)
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rules = frame["rules"].iloc[0]
-        rules = [(r["from_edge"], r["to_edge"], r["via"]) for r in rules] if rules is not None else []
+    def run(key: tuple, frame: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
+        rules, wanted = _parted(both)
         graph = build_graph(frame, rules, "c", "r", undirected)
         plain = None
         out = []
-        for p in frame["pairs"].iloc[0]:
-            if p["from_edge"] is None or p["to_edge"] is None:
-                out.append((p["pair_id"], "unmatched", None, [], None))
+        for p in wanted.sort_values("pair_id").itertuples():
+            if pd.isna(p.from_edge) or pd.isna(p.to_edge):
+                out.append((p.pair_id, "unmatched", None, [], None))
                 continue
-            ends = (int(p["from_edge"]), p["from_fraction"]), (int(p["to_edge"]), p["to_fraction"])
+            ends = (int(p.from_edge), p.from_fraction), (int(p.to_edge), p.to_fraction)
             found = graph.route(*ends, policy, directed=not undirected)
             if found is None:
                 plain = plain or build_graph(frame, rules, "m", "mr", undirected)
                 state = "no_coverage" if plain.route(*ends, policy, directed=not undirected) else "no_path"
-                out.append((p["pair_id"], state, None, [], None))
+                out.append((p.pair_id, state, None, [], None))
             else:
-                out.append((p["pair_id"], "reached", found["cost"], [e * s for e, s in found["edges"]], paths.as_rows(found["path"]) if found["path"] is not None else None))
+                out.append((p.pair_id, "reached", found["cost"], [e * s for e, s in found["edges"]], paths.as_rows(found["path"]) if found["path"] is not None else None))
         result = pd.DataFrame(out, columns=["pair_id", "state", "cost", "edges", "path"])
         result.insert(0, "request_id", key[0])
         return result.astype({"cost": "float64"})
 
-    pair_kind = dict(pairs.dtypes)["pair_id"]
-    schema = f"request_id {kinds['request_id']}, pair_id {pair_kind}, state string, cost double, edges array<long>, path array<struct<lon:double,lat:double>>"
-    return rows.groupBy("request_id").applyInPandas(run, schema)
+    kinds = dict(edges.dtypes) | dict(pairs.dtypes)
+    schema = f"request_id {kinds['request_id']}, pair_id {kinds['pair_id']}, state string, cost double, edges array<long>, path array<struct<lon:double,lat:double>>"
+    return rows.groupBy("request_id").cogroup(asked.groupBy("request_id")).applyInPandas(run, schema)
+
+
+def _asked(edges: DataFrame, wanted: DataFrame, restrictions: DataFrame | None) -> DataFrame:
+    """What a request asks for and the rules on its edges, as rows of one table; neither is copied to the edges."""
+    rule = "struct<from_edge:long,to_edge:long,via:long>"
+    out = wanted.withColumn("rule", F.lit(None).cast(rule))
+    if restrictions is not None:
+        here = edges.select("request_id", F.col("edge_id").alias("from_edge")).join(restrictions, "from_edge")
+        rules = here.select("request_id", F.struct(*[F.col(c).cast("long").alias(c) for c in ("from_edge", "to_edge", "via")]).alias("rule"))
+        out = out.unionByName(rules, allowMissingColumns=True)
+    return out
+
 
+def _parted(both: pd.DataFrame) -> tuple[list[tuple[int, int, int]], pd.DataFrame]:
+    """The rules and the wanted rows of ``_asked``."""
+    is_rule = both["rule"].notna() if len(both) else pd.Series([], dtype=bool)
+    return [(r["from_edge"], r["to_edge"], r["via"]) for r in both.loc[is_rule, "rule"]], both.loc[~is_rule] if len(both) else both
 
-def route_waypoints(graph: Graph, places: list[tuple[int, float]], policy: DetourPolicy = DetourPolicy(), directed: bool = True) -> list[dict] | None:
+
+def segment_routes(edges: DataFrame, waypoints: DataFrame, restrictions: DataFrame | None = None, avoid: DataFrame | None = None, policy: DetourPolicy = DetourPolicy()) -> DataFrame:
+    """Ways through ordered waypoints: ``request_id, state, cost, edges, path``.
+
+    ``edges`` as for ``solve_pairs``; ``waypoints``: ``request_id, place, edge_id, fraction, heading``, where only
+    the first and last headings count; ``avoid``: ``request_id, cut`` (path), whose corridor no edge may touch.
+    States: reached, no_path, unmatched, too_many.
+    """
+    if avoid is not None:
+        touched = edges.join(avoid.select("request_id", "cut"), "request_id").where(path_distance(F.col("path"), F.col("cut")) <= policy.corridor_m)
+        edges = edges.join(touched.select("request_id", "edge_id"), ["request_id", "edge_id"], "left_anti")
+    kind = F.col("kind") if "kind" in edges.columns else F.lit("")
+    rows = edges.select("request_id", "edge_id", "source", "target", F.col("seconds").alias("c"), F.col("reverse_seconds").alias("r"), "path", kind.alias("kind"))
+    asked = _asked(edges, waypoints.select("request_id", "place", "edge_id", "fraction", "heading"), restrictions)
+
+    def run(key: tuple, frame: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
+        rules, wanted = _parted(both)
+        wanted = wanted.sort_values("place") if len(wanted) else wanted
+        state, total, edge_ids, line = "unmatched", None, [], []
+        if len(wanted) > policy.max_waypoints:
+            state = "too_many"
+        elif len(wanted) >= 2 and wanted["edge_id"].notna().all():
+            graph = build_graph(frame, rules, "c", "r")
+            places = [(int(e), float(f)) for e, f in zip(wanted["edge_id"], wanted["fraction"])]
+            heading = lambda k: None if pd.isna(wanted["heading"].iloc[k]) else float(wanted["heading"].iloc[k])
+            legs = route_waypoints(graph, places, policy, leave=heading(0), arrive=heading(-1)) if all(e in graph.source for e, _ in places) else None
+            state = "no_path" if legs is None else "reached"
+            for leg in legs or ():
+                total = (total or 0.0) + leg["cost"]
+                edge_ids += [e * s for e, s in leg["edges"]]
+                line += paths.as_rows(leg["path"] if not line else leg["path"][1:]) if leg["path"] is not None else []
+        return pd.DataFrame([(key[0], state, total, edge_ids, line or None)], columns=["request_id", "state", "cost", "edges", "path"]).astype({"cost": "float64"})
+
+    schema = f"request_id {dict(waypoints.dtypes)['request_id']}, state string, cost double, edges array<long>, path array<struct<lon:double,lat:double>>"
+    return rows.groupBy("request_id").cogroup(asked.groupBy("request_id")).applyInPandas(run, schema).join(waypoints.select("request_id").distinct(), "request_id", "left_semi")
+
+
+def segment_routes_with_retry(network: DataFrame, boxes: DataFrame, waypoints: DataFrame, policy: DetourPolicy = DetourPolicy(), **options) -> DataFrame:
+    """``segment_routes`` on each request's box; requests without a way are tried once more with a wider one.
+
+    ``network``: priced edges; ``boxes``: ``request_id, min_lon, min_lat, max_lon, max_lat``.
+    """
+    first = checkpointed(segment_routes(local_edges(network, boxes), waypoints, policy=policy, **options))
+    open_ones = first.where("state = 'no_path'").select("request_id")
+    if open_ones.isEmpty():
+        return first
+    d = policy.retry_margin_m / DEGREE_M
+    wide = boxes.join(open_ones, "request_id").withColumns({"min_lon": F.col("min_lon") - 2 * d, "max_lon": F.col("max_lon") + 2 * d, "min_lat": F.col("min_lat") - d, "max_lat": F.col("max_lat") + d})
+    again = segment_routes(local_edges(network, wide), waypoints.join(open_ones, "request_id"), policy=policy, **options)
+    return first.join(open_ones, "request_id", "left_anti").unionByName(again)
+
+
+def route_waypoints(
+    graph: Graph, places: list[tuple[int, float]], policy: DetourPolicy = DetourPolicy(), directed: bool = True, leave: float | None = None, arrive: float | None = None
+) -> list[dict] | None:
     """Legs through ordered places; legs of no length stay. None if one can't be reached."""
     if not 2 <= len(places) <= max(policy.max_waypoints, 50):
         raise InvalidField("waypoints", "need 2 or more, and not too many")
     legs = []
-    for a, b in zip(places, places[1:]):
+    for k, (a, b) in enumerate(zip(places, places[1:])):
         if a == b:
             legs.append({"cost": 0.0, "edges": [], "path": None})
-        elif (leg := graph.route(a, b, policy, directed)) is None:
+            continue
+        leg = graph.route(a, b, policy, directed, leave if k == 0 else None, arrive if k == len(places) - 2 else None)
+        if leg is None:
             return None
-        else:
-            legs.append(leg)
+        legs.append(leg)
     return legs
 
 

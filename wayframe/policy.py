@@ -62,6 +62,7 @@ class DetourPolicy:
     snap_m: float = 50.0
     max_waypoints: int = 25
     reversal_angle: float = 150.0
+    crossing_m: float = 30.0
     max_cut_positions: int = 10_000
     max_cut_m: float = 20_000.0
 
