@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,6 +171,120 @@ def traffic_segments(documents: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+# vector tiles
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        byte = data[at]
+        at += 1
+        value |= (byte & 0x7F) << shift
+        if byte < 0x80:
+            return value, at
+        shift += 7
+
+
+def _message(data: bytes):
+    """Fields of a protocol buffer message: number, and an integer or bytes."""
+    at = 0
+    while at < len(data):
+        key, at = _varint(data, at)
+        kind = key & 7
+        if kind == 0:
+            value, at = _varint(data, at)
+        else:
+            size, at = _varint(data, at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+            value, at = data[at : at + size], at + size
+        yield key >> 3, value
+
+
+def _numbers(packed: bytes) -> list[int]:
+    out, at = [], 0
+    while at < len(packed):
+        value, at = _varint(packed, at)
+        out.append(value)
+    return out
+
+
+def _signed(n: int) -> int:
+    return (n >> 1) ^ -(n & 1)
+
+
+def _tile_value(data: bytes):
+    for field, value in _message(data):
+        if field == 1:
+            return value.decode("utf-8", "replace")
+        if field in (2, 3):
+            return struct.unpack("<f" if field == 2 else "<d", value)[0]
+        return bool(value) if field == 7 else _signed(value) if field == 6 else value - (value >> 63 << 64)
+    return None
+
+
+def _tile_lines(commands: list[int]) -> list[list[tuple[int, int]]]:
+    lines, x, y, at = [], 0, 0, 0
+    while at < len(commands):
+        order, count = commands[at] & 7, commands[at] >> 3
+        at += 1
+        for _ in range(count if order in (1, 2) else 0):
+            x, y, at = x + _signed(commands[at]), y + _signed(commands[at + 1]), at + 2
+            if order == 1:
+                lines.append([])
+            lines[-1].append((x, y))
+    return [line for line in lines if len(line) > 1]
+
+
+def decode_tile(body: bytes, z: int, x: int, y: int) -> list[tuple[str, dict, list[tuple[float, float]]]]:
+    """Lines of a vector tile as ``layer, properties, [(lon, lat)]``; points and areas are passed over."""
+    out, world = [], 1 << z
+    for field, layer in _message(body):
+        if field != 3:
+            continue
+        name, keys, values, features, extent = "", [], [], [], 4096
+        for part, value in _message(layer):
+            if part == 1:
+                name = value.decode("utf-8", "replace")
+            elif part == 2:
+                features.append(value)
+            elif part == 3:
+                keys.append(value.decode("utf-8", "replace"))
+            elif part == 4:
+                values.append(_tile_value(value))
+            elif part == 5:
+                extent = value
+        for feature in features:
+            parts = dict(_message(feature))
+            if parts.get(3) != 2:
+                continue
+            tags = _numbers(parts.get(2, b""))
+            properties = {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2])}
+            for line in _tile_lines(_numbers(parts.get(4, b""))):
+                place = lambda px, py: ((x + px / extent) / world * 360 - 180, math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (y + py / extent) / world)))))
+                out.append((name, properties, [place(px, py) for px, py in line]))
+    return out
+
+
+def tile_segments(tiles: DataFrame) -> DataFrame:
+    """Directed traffic segments of vector tiles (``z, x, y, body``): speeds, closures and paths, in the order of the tile.
+
+    A source gets its id from its properties, else from its tile and place in it. A tile that can't be read fails the scan.
+    """
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for tile in frame.itertuples():
+                for k, (_, p, line) in enumerate(decode_tile(bytes(tile.body), int(tile.z), int(tile.x), int(tile.y))):
+                    speed = p.get("traffic_level", p.get("speed_kph"))
+                    speed = float(speed) if isinstance(speed, (int, float)) and not isinstance(speed, bool) else None
+                    path = [{"lon": a, "lat": b} for a, b in line]
+                    ident = str(p.get("source_id", f"{tile.z}/{tile.x}/{tile.y}/{k}"))
+                    rows.append((k, ident, p.get("road_category"), p.get("traffic_road_coverage", p.get("road_coverage")), speed, bool(speed and speed > 0), bool(p.get("road_closure", p.get("closure", False))), path))
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in TRAFFIC.split(", ")])
+
+    return tiles.select("z", "x", "y", "body").mapInPandas(run, TRAFFIC)
+
+
 def unnested(df: DataFrame, columns: list[str], ordinal: str = "ordinal") -> DataFrame:
     """Parallel arrays as rows with their ordinal from 1; shorter arrays give nulls."""
     rest = [c for c in df.columns if c not in columns]
