@@ -202,6 +202,33 @@ def s23_map_snapshot(spark, d):
     return got.select(F.explode("s.layers").alias("layer", "f"), F.col("s.status")["state"].alias("state")).select("layer", F.size("f").alias("features"), "state")
 
 
+TILE_Y = "CAST(floor((1-asinh(tan(radians({})))/pi())/2*1024) AS BIGINT)"
+
+
+@query(with_("spots") + f"""SELECT DISTINCT 10 AS z, x, y FROM (SELECT x, unnest(generate_series(y0, y1)) AS y FROM (SELECT unnest(generate_series(CAST(floor((r_lon-0.2+180)/360*1024) AS BIGINT), CAST(floor((r_lon+0.3+180)/360*1024) AS BIGINT))) AS x,
+       {TILE_Y.format("r_lat+0.25")} AS y0, {TILE_Y.format("r_lat-0.1")} AS y1 FROM spots))""")
+def s10_tile_cover(spark, d):
+    boxes = px.spots(spark, d).select((F.col("r_lon") - 0.2).alias("min_lon"), (F.col("r_lat") - 0.1).alias("min_lat"), (F.col("r_lon") + 0.3).alias("max_lon"), (F.col("r_lat") + 0.25).alias("max_lat"))
+    return files.tile_cover(boxes, 10)
+
+
+@query("SELECT l_suppkey, CAST(COUNT(*) AS BIGINT) AS rows, round(SUM(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
+def m04_recomputed_aggregates(spark, d):
+    li, at = table(spark, d, "lineitem"), scratch(spark, "aggregates")
+    totals = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    sinks.overwrite(totals.limit(1), at)  # what an earlier run left
+    sinks.overwrite(totals, at)
+    return spark.read.parquet(at)
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS INTEGER) AS tags, o_orderstatus AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 3 = 0 THEN 'clerk,status' ELSE 'clerk,priority,status' END AS names FROM orders")
+def x03_maps(spark, d):
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.col(v).alias("value"))
+    tags = F.map_from_entries(F.array(pair("status", "o_orderstatus"), pair("priority", "o_orderpriority"), pair("clerk", "o_orderstatus")))
+    kept = F.map_filter(tags, lambda k, v: (k != "priority") | (F.col("o_orderkey") % 3 != 0))
+    return table(spark, d, "orders").select("o_orderkey", F.size(kept).alias("tags"), kept["status"].alias("status"), kept["priority"].alias("priority"), F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("names"))
+
+
 # relations
 
 

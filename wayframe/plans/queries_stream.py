@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..policy import BottleneckPolicy, BunchingPolicy, GpsPolicy
-from ..streaming import bottlenecks, bunching, ingest
+from ..streaming import bottlenecks, bunching, ingest, producer
 from . import audit
 from . import proxy as px
 from .proxy import hav_sql, table, with_
@@ -182,6 +182,13 @@ def t14_candidates(spark, d):
     return rows.select("obs_id", F.size("candidates").alias("candidates"), F.round(F.array_min(F.transform("candidates", lambda c: c["distance_m"])), 2).alias("nearest_m"))
 
 
+@query(with_("captures") + "SELECT capture_id, partial FROM captures WHERE capture_id > (SELECT MIN(capture_id) + 9 FROM captures) ORDER BY capture_id LIMIT 32")
+def y05_next_captures(spark, d):
+    c = px.captures(spark, d)
+    done = c.agg(F.min("capture_id")).first()[0] + 9
+    return producer.next_captures(c.select("capture_id", "partial"), done, 32)
+
+
 # audits
 
 
