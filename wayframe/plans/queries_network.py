@@ -185,6 +185,51 @@ def r16_stop_classes(spark, d):
     return rows.select("stop_id", F.round("cut_m", 1).alias("cut_m"), "availability")
 
 
+# ways along each route's stops, which are a graph of their own; some edges run one way, some have no time
+
+CHAIN = """ch AS (SELECT route_id, stop_seq - 1 AS k, 10.0::DOUBLE + stop_id % 7 AS sec, stop_id % 37 = 0 AS one_way, stop_id % 43 = 0 AS untimed FROM ed WHERE stop_seq <= 24),
+       su AS (SELECT route_id, SUM(CASE WHEN k IN (2, 20) THEN sec/2 ELSE sec END) AS cost, bool_or(one_way) AS one_way, bool_or(untimed) AS untimed FROM ch WHERE k BETWEEN 2 AND 20 GROUP BY 1 HAVING COUNT(*) = 19)"""
+
+
+def chains(spark, d):
+    w = Window.partitionBy("route_id").orderBy("stop_seq")
+    rows = px.route_stops(spark, d).withColumn("target", F.lead("stop_id").over(w)).where("target IS NOT NULL AND stop_seq <= 24")
+    seconds, timed = 10.0 + F.col("stop_id") % 7, F.col("stop_id") % 43 != 0
+    one_way = F.col("stop_id") % 37 == 0
+    return rows.select(
+        F.col("route_id").alias("request_id"), (F.col("stop_seq") - 1).cast("long").alias("edge_id"), F.col("stop_id").alias("source"), "target", seconds.alias("cost"), F.when(one_way, -1.0).otherwise(seconds).alias("reverse_cost"),
+        F.when(timed, seconds).otherwise(-1.0).alias("seconds"), F.when(timed & ~one_way, seconds).otherwise(-1.0).alias("reverse_seconds"), F.lit(None).cast("array<struct<lon:double,lat:double>>").alias("path"),
+    )
+
+
+def _ends(edges):
+    whole = edges.where("edge_id BETWEEN 2 AND 20").groupBy("request_id").count().where("count = 19").select("request_id")
+    pair = lambda name, a, b: F.struct(F.lit(name).alias("pair_id"), F.lit(a).cast("long").alias("from_edge"), F.lit(0.5).alias("from_fraction"), F.lit(b).cast("long").alias("to_edge"), F.lit(0.5).alias("to_fraction"))
+    return whole.select("request_id", F.explode(F.array(pair("ahead", 2, 20), pair("back", 20, 2), pair("lost", 2, None))).alias("p")).select("request_id", "p.*")
+
+
+@query(with_("route_stops", more=EDGES + ", " + CHAIN) + """SELECT route_id AS request_id, 'ahead' AS pair_id, CASE WHEN untimed THEN 'no_coverage' ELSE 'reached' END AS state, CASE WHEN NOT untimed THEN round(cost, 4) END AS cost, CAST(CASE WHEN NOT untimed THEN 19 ELSE 0 END AS INTEGER) AS edges FROM su
+       UNION ALL SELECT route_id, 'back', CASE WHEN one_way THEN 'no_path' WHEN untimed THEN 'no_coverage' ELSE 'reached' END, CASE WHEN NOT untimed AND NOT one_way THEN round(cost, 4) END, CASE WHEN NOT untimed AND NOT one_way THEN 19 ELSE 0 END FROM su UNION ALL SELECT route_id, 'lost', 'unmatched', NULL, 0 FROM su""")
+def r07_solved_pairs(spark, d):
+    edges = chains(spark, d)
+    return routing.solve_pairs(edges, _ends(edges)).select("request_id", "pair_id", "state", r4("cost").alias("cost"), F.size("edges").alias("edges"))
+
+
+@query(with_("route_stops", more=EDGES + ", " + CHAIN) + "SELECT route_id AS request_id, pair_id, 'reached' AS state, round(cost, 4) AS cost FROM su, (VALUES ('ahead'), ('back')) p(pair_id)")
+def r11_undirected_pairs(spark, d):
+    edges = chains(spark, d)
+    return routing.solve_pairs(edges, _ends(edges).where("pair_id <> 'lost'"), cost="cost", reverse="reverse_cost", undirected=True).select("request_id", "pair_id", "state", r4("cost").alias("cost"))
+
+
+@query(with_("route_stops", more=EDGES + ", " + CHAIN + """, tw AS (SELECT route_id, SUM(CASE WHEN k = 2 THEN sec/2 ELSE sec END) FILTER (WHERE k < 11) + SUM(CASE WHEN k = 11 THEN sec/4 END) AS one, SUM(CASE WHEN k = 11 THEN sec*3/4 WHEN k = 20 THEN sec/2 ELSE sec END) FILTER (WHERE k >= 11) AS two, bool_or(untimed) AS untimed FROM ch WHERE k BETWEEN 2 AND 20 GROUP BY 1 HAVING COUNT(*) = 19)""")
+       + "SELECT route_id AS request_id, CASE WHEN untimed THEN 'no_path' ELSE 'reached' END AS state, CASE WHEN NOT untimed THEN round(one + two, 4) END AS cost FROM tw")
+def r12_segment_routes(spark, d):
+    edges = chains(spark, d)
+    place = lambda n, e, f: F.struct(F.lit(n).alias("place"), F.lit(e).cast("long").alias("edge_id"), F.lit(f).alias("fraction"), F.lit(None).cast("double").alias("heading"))
+    asked = _ends(edges).select("request_id").distinct().select("request_id", F.explode(F.array(place(0, 2, 0.5), place(1, 11, 0.25), place(2, 20, 0.5))).alias("p")).select("request_id", "p.*")
+    return routing.segment_routes(edges, asked).select("request_id", "state", r4("cost").alias("cost"))
+
+
 # identities
 
 
