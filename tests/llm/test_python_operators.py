@@ -192,6 +192,17 @@ def test_sum_of_squares_picks_the_least(lengths, may_open):
         fill[b] = o + n
 
 
+def test_packing_of_repeated_rows_and_ties(spark):
+    rows = [(7, "same words here", "x", 1, 2)] * 5 + [(None, "same words here", "y", 1, 2)] * 2 + [(k, "tie " * 700, "z", 1, 2) for k in range(6)] + [(9, None, "w", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece string, length int, group int")
+    out = packing.pack(docs).collect()
+    assert len(out) == 14 and sorted(r.length for r in out if r.doc_id == 7) == [4] * 5 and [r.length for r in out if r.doc_id == 9] == [1]
+    assert len({(r.sequence_id, r.offset) for r in out}) == 14
+    assert sorted(map(tuple, packing.pack(docs.repartition(3)).collect()), key=repr) == sorted(map(tuple, out), key=repr)
+    published = packing.pack(docs, may_open=True).collect()
+    assert sorted((r.doc_id or -1, r.length) for r in published) == sorted((r.doc_id or -1, r.length) for r in out)
+
+
 # secrets
 
 
