@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import DEGREE_M
+from ..operators.checkpoints import checkpointed
 from ..policy import DetourPolicy, ShapePolicy
 from . import catalog, demand, feed, identity, routing, simulation, streets, transfers
 from . import proxy as px
@@ -58,7 +59,7 @@ DIRECTED = IMPORT + """, us AS (SELECT * FROM imp WHERE way_id % 4 <> 0),
 
 def street_edges(spark, d):
     vertices, edges = imported(spark, d)
-    return vertices, streets.directed_edges(streets.usable_ways(edges))
+    return vertices, checkpointed(streets.directed_edges(streets.usable_ways(edges)))
 
 
 @query(with_("route_stops", "routes", more=DIRECTED + """, sym AS (SELECT source AS a, target AS b FROM dg UNION SELECT target, source FROM dg), vs AS (SELECT DISTINCT a AS id FROM sym),

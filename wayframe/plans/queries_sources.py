@@ -100,7 +100,9 @@ def imported(spark, d):
     nodes, ways = files.parse_nodes(lines), files.parse_ways(lines)
     from . import streets
 
-    return streets.import_network(nodes, ways)
+    # written once, as a load would, for the many steps that read them
+    vertices, edges = streets.import_network(checkpointed(nodes), checkpointed(ways))
+    return checkpointed(vertices), checkpointed(edges)
 
 
 IMPORT = WAY_REFS + """, used AS (SELECT ref, COUNT(*) > 1 AS shared FROM refs GROUP BY 1),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import path_length, path_points, valid_path
+from ..operators.checkpoints import checkpointed
 from ..operators.relational import largest_component
 
 # fixed values: classes open to buses, tag values that close a way, and one-way values
@@ -71,7 +72,7 @@ def directed_edges(edges: DataFrame) -> DataFrame:
 
 def street_graph(ways: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges of the largest connected part of the usable network."""
-    edges = directed_edges(usable_ways(ways))
+    edges = checkpointed(directed_edges(usable_ways(ways)))  # read by every round of the components
     ends = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     return largest_component(vertices.join(ends, "id", "left_semi"), edges)
 
