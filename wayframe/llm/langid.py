@@ -40,8 +40,8 @@ MIN_SCORE = 0.5
 SMOOTHING = 0.5
 #: Parts of the vocabulary for words and for n-grams of each order.
 SHARES = {0: 0.4, 4: 0.3, 3: 0.2, 2: 0.08, 1: 0.02}
-#: Languages whose shares may be broadcast; characters of text scored at once.
-BROADCAST_LANGUAGES, PART_CHARS = 10_000, 4 << 20
+#: Languages whose shares may be broadcast; characters of text scored at once; distinct words counted at once.
+BROADCAST_LANGUAGES, PART_CHARS, FIT_WORDS = 10_000, 1 << 19, 50_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, vocabulary: int = VOCABUL
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"]):
                 counts[lang].update(w for w in map(core, text.split()) if w)
-                if sum(map(len, counts.values())) > 200_000:
+                if sum(map(len, counts.values())) > FIT_WORDS:
                     yield flush()
         yield flush()
 

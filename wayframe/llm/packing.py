@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 SEQUENCE, CLOSING_ID = 2048, 0
 #: Pieces per packing group, and words kept in a worker's cache, none of them longer than this.
-GROUP_PIECES, CACHE_WORDS, CACHED_LENGTH = 4096, 600_000, 64
+GROUP_PIECES, CACHE_WORDS, CACHED_LENGTH = 4096, 250_000, 64
 
 
 def default_tokenizer() -> str:
