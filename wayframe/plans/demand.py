@@ -19,9 +19,9 @@ def trips_to_cells(survey: DataFrame, grid=None) -> DataFrame:
 
 def hotspots(trips: DataFrame) -> DataFrame:
     """Each cell's busiest point: by weight, then count, then latitude, longitude; origins and destinations both count."""
-    ends = trips.select(F.col("origin").alias("cell"), F.col("origin_lon").alias("lon"), F.col("origin_lat").alias("lat"), "weight").unionByName(
-        trips.select(F.col("dest").alias("cell"), F.col("dest_lon").alias("lon"), F.col("dest_lat").alias("lat"), "weight")
-    )
+    end = lambda cell, lon, lat: F.struct(F.col(cell).alias("cell"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    both = F.array(end("origin", "origin_lon", "origin_lat"), end("dest", "dest_lon", "dest_lat"))
+    ends = trips.select(F.explode(both).alias("e"), "weight").select("e.*", "weight")  # one pass over the survey
     points = ends.where("cell IS NOT NULL").groupBy("cell", "lon", "lat").agg(F.sum(F.coalesce("weight", F.lit(0.0)).cast("double")).alias("w"), F.count(F.lit(1)).alias("n"))
     best = F.min_by(F.struct("lon", "lat"), F.struct((-F.col("w")).alias("w"), (-F.col("n")).alias("n"), "lat", "lon"))
     return points.groupBy("cell").agg(best.alias("p")).select("cell", "p.lon", "p.lat")
@@ -41,12 +41,14 @@ def transfer_od(trips: DataFrame) -> DataFrame:
 def cell_candidates(route_stops: DataFrame, cells: DataFrame, grid=None, policy: DemandPolicy = DemandPolicy()) -> DataFrame:
     """Cells whose point is nearer than the access radius to a stop, from the stop's cell and its neighbours.
 
-    ``route_stops``: ``route_id, stop_order, stop_id, lon, lat``; ``cells``: ``cell, lon, lat``.
+    ``route_stops``: ``route_id, stop_order, stop_id, lon, lat``; ``cells``: ``cell, lon, lat``. Neighbourhood is
+    mutual, so the cells are copied to their neighbours and not the stops, of which there are more. Catalyst's
+    estimate does not see the copies and would broadcast either side by it, hence the hint.
     """
     grid = grid or HexGrid()
-    near = route_stops.withColumn("cell", F.explode(grid.disk(grid.cell(F.col("lon"), F.col("lat")))))
-    spots = cells.select("cell", F.col("lon").alias("cell_lon"), F.col("lat").alias("cell_lat"))
-    rows = near.join(spots, "cell").withColumn("distance_m", haversine(F.col("lon"), F.col("lat"), F.col("cell_lon"), F.col("cell_lat")))
+    near = cells.select("cell", F.col("lon").alias("cell_lon"), F.col("lat").alias("cell_lat"), F.explode(grid.disk(F.col("cell"))).alias("__at"))
+    stops = route_stops.select("route_id", "stop_order", "stop_id", "lon", "lat", grid.cell(F.col("lon"), F.col("lat")).alias("__at"))
+    rows = stops.hint("merge").join(near, "__at").withColumn("distance_m", haversine(F.col("lon"), F.col("lat"), F.col("cell_lon"), F.col("cell_lat")))
     return rows.where(F.col("distance_m") < policy.access_m).select("route_id", "stop_order", "stop_id", "cell", "distance_m")
 
 
