@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.agg import weighted_sum
 from ..functions.geo import HexGrid, haversine
+from ..operators.checkpoints import checkpointed
 from ..policy import DemandPolicy
 
 
@@ -60,27 +61,32 @@ def assign_cells(candidates: DataFrame, policy: DemandPolicy = DemandPolicy()) -
     return rows.withColumn("accessibility", share * share if policy.quadratic else share)
 
 
-def pair_demand(assigned: DataFrame, matrix: DataFrame) -> DataFrame:
+def pair_demand(assigned: DataFrame, matrix: DataFrame, bound: int = 200_000) -> DataFrame:
     """Gross and potential trips of every ordered stop pair.
 
-    The matrix meets the origins' cells first and then the destinations', both by key, so no
-    pair of stops without trips is ever formed.
+    A route's cells are paired first, within the route, and its pairs then meet the matrix. Their number
+    follows the routes' lengths, while a cell of the matrix meets every route that serves its origin. A matrix
+    of at most ``bound`` rows is broadcast, so that pairs stay where their route is; a larger one is shuffled.
     """
+    matrix = checkpointed(matrix)
     o = assigned.select("route_id", F.col("cell").alias("origin"), F.col("stop_order").alias("origin_order"), F.col("stop_id").alias("origin_id"), F.col("accessibility").alias("a"))
     d = assigned.select("route_id", F.col("cell").alias("dest"), F.col("stop_order").alias("dest_order"), F.col("stop_id").alias("dest_id"), F.col("accessibility").alias("b"))
-    rows = matrix.join(o, "origin").join(d, ["route_id", "dest"]).where("origin_order < dest_order")
+    trips = F.broadcast(matrix) if matrix.count() <= bound else matrix.hint("merge")
+    rows = o.hint("merge").join(d, "route_id").where("origin_order < dest_order").join(trips, ["origin", "dest"])
     return rows.groupBy("route_id", "origin_order", "origin_id", "dest_order", "dest_id").agg(F.sum("trips").alias("gross"), F.sum(F.col("trips") * F.col("a") * F.col("b")).alias("potential"))
 
 
 def route_demand(route_stops: DataFrame, cells: DataFrame, matrix: DataFrame, grid=None, policy: DemandPolicy = DemandPolicy()) -> DataFrame:
-    return pair_demand(assign_cells(cell_candidates(route_stops, cells, grid, policy), policy), matrix)
+    return pair_demand(checkpointed(assign_cells(cell_candidates(route_stops, cells, grid, policy), policy)), matrix)
 
 
 def stop_contributions(route_stops: DataFrame, pairs: DataFrame, value: str = "potential") -> DataFrame:
     """Per stop what begins and what ends there; stops without either have 0."""
-    out = pairs.groupBy("route_id", F.col("origin_order").alias("stop_order")).agg(F.sum(value).alias("as_origin"))
-    into = pairs.groupBy("route_id", F.col("dest_order").alias("stop_order")).agg(F.sum(value).alias("as_dest"))
-    rows = route_stops.select("route_id", "stop_order", "stop_id").join(out, ["route_id", "stop_order"], "left").join(into, ["route_id", "stop_order"], "left")
+    end = lambda stop, out, into: F.struct(F.col(stop).alias("stop_order"), out.alias("as_origin"), into.alias("as_dest"))
+    none = F.lit(None).cast("double")
+    ends = pairs.select("route_id", F.explode(F.array(end("origin_order", F.col(value).cast("double"), none), end("dest_order", none, F.col(value).cast("double")))).alias("e")).select("route_id", "e.*")
+    sums = ends.groupBy("route_id", "stop_order").agg(F.sum("as_origin").alias("as_origin"), F.sum("as_dest").alias("as_dest"))  # the pairs are formed once
+    rows = route_stops.select("route_id", "stop_order", "stop_id").join(sums.hint("merge"), ["route_id", "stop_order"], "left")
     return rows.na.fill(0.0, ["as_origin", "as_dest"])
 
 
