@@ -128,7 +128,7 @@ def travel_time(segments: DataFrame, paces: DataFrame, fallback: DataFrame) -> D
     ``segments``: ``route_id, segment, metres``; ``fallback`` has one row.
     """
     base = fallback.select(*[F.col(p).alias(f"g_{p}") for p in PACES])
-    rows = segments.join(paces.select("route_id", "segment", *PACES, "confidence"), ["route_id", "segment"], "left").crossJoin(F.broadcast(base.limit(1)))
+    rows = segments.join(paces.select("route_id", "segment", *PACES, "confidence").hint("merge"), ["route_id", "segment"], "left").crossJoin(F.broadcast(base.limit(1)))
     seconds = [F.greatest(F.lit(1), F.round(F.col("metres") * F.coalesce(F.col(p), F.col(f"g_{p}")))).cast("long").alias(f"{p}_s") for p in PACES]
     return rows.select("route_id", "segment", "metres", *seconds, F.coalesce("confidence", F.lit("low")).alias("confidence"))
 
@@ -148,7 +148,9 @@ def pair_distances(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     run = prefix_sum(segments, ["route_id"], ["segment"], "metres", "before")
     start = run.select("route_id", F.col("segment").alias("origin_order"), F.col("before").alias("from_m"))
     end = run.select("route_id", (F.col("segment") + 1).alias("dest_order"), (F.col("before") + F.col("metres")).alias("to_m"))
-    return pairs.join(start, ["route_id", "origin_order"]).join(end, ["route_id", "dest_order"]).withColumn("distance_m", F.col("to_m") - F.col("from_m")).drop("from_m", "to_m")
+    # a row per stop is no table to broadcast, however small its file
+    rows = pairs.join(start.hint("merge"), ["route_id", "origin_order"]).join(end.hint("merge"), ["route_id", "dest_order"])
+    return rows.withColumn("distance_m", F.col("to_m") - F.col("from_m")).drop("from_m", "to_m")
 
 
 def pair_revenue(pairs: DataFrame, bands: DataFrame, jurisdiction: str, policy: RevenuePolicy = RevenuePolicy()) -> DataFrame:
