@@ -22,6 +22,6 @@ def broadcast_copies(frame):
     return found
 
 
-@pytest.mark.parametrize("name", ["d02_cell_candidates", "d03_cell_assignment", "d12_contributions", "d13_simulated_routes", "d13_simulation", "d05_pair_demand", "d11_revenue"])
+@pytest.mark.parametrize("name", ["d02_cell_candidates", "d03_cell_assignment", "d12_contributions", "d13_simulated_routes", "d13_simulation", "d05_pair_demand", "d11_revenue", "e17_precomputed"])
 def test_no_broadcast_of_copied_rows(spark, data, name):
     assert not broadcast_copies(registry.QUERIES[name](spark, data))
