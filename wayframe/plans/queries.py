@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import agg, geo
 from ..functions.text import branch_of, contains_ignoring_case, line_of, natural_number
 from ..operators import relational as rel
+from ..operators.checkpoints import checkpointed
 from ..policy import BottleneckPolicy, BunchingPolicy, DemandPolicy, RevenuePolicy, TransferPolicy
 from ..sources import files
 from ..streaming import bottlenecks, bunching
@@ -608,9 +609,10 @@ SERVICE = f"""service AS (SELECT cell, route_id, MIN(stop_seq) AS min_seq, MAX(s
 
 
 def _ranking(spark, d):
+    """The ranking, and the cells with their points."""
     trips = _survey(spark, d)
-    s = px.stops(spark, d)
-    return transfers.build_ranking(demand.transfer_od(trips), demand.hotspots(trips), px.route_stops(spark, d), s, RANK_POLICY)
+    s, cells = px.stops(spark, d), checkpointed(demand.hotspots(trips))
+    return transfers.build_ranking(demand.transfer_od(trips), cells, px.route_stops(spark, d), s, RANK_POLICY), cells
 
 
 @query(with_("cells", "route_stops", more=WALK + ",\n" + SERVICE + """,
@@ -618,7 +620,7 @@ def _ranking(spark, d):
        dy AS (SELECT r1, r2, NULL::INTEGER AS hour, round(SUM(trips), 4) AS trips, round(GREATEST(SUM(trips*n)/NULLIF(SUM(trips),0), 1), 4) AS alternatives, CAST(COUNT(DISTINCT (origin, dest)) AS BIGINT) AS od_pairs, arg_min(hour, (-trips, hour)) AS peak_hour FROM att GROUP BY 1, 2)""")
        + "SELECT * FROM hr UNION ALL SELECT * FROM dy")
 def e13_transfer_ranking(spark, d):
-    rows = _ranking(spark, d)
+    rows, _ = _ranking(spark, d)
     return rows.select("r1", "r2", "hour", r4("trips").alias("trips"), r4(F.coalesce("alternatives", F.lit(1.0))).alias("alternatives"), "od_pairs", "peak_hour")
 
 
@@ -757,9 +759,9 @@ def d19_similar_lines(spark, d):
 
 @query()
 def d20_ranking_page(spark, d):
-    trips = _survey(spark, d)
     r = feed.named_routes(px.routes(spark, d), "short_name")
-    return transfers.ranking_page(_ranking(spark, d), r, demand.hotspots(trips), None, 10)
+    rows, cells = _ranking(spark, d)
+    return transfers.ranking_page(rows, r, cells, None, 10)
 
 
 # operations

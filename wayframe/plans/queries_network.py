@@ -9,10 +9,10 @@ from ..functions import geo
 from ..functions.geo import DEGREE_M
 from ..operators.checkpoints import checkpointed
 from ..policy import DetourPolicy, ShapePolicy
-from . import catalog, demand, feed, identity, routing, simulation, streets, transfers
+from . import catalog, feed, identity, routing, simulation, streets, transfers
 from . import proxy as px
 from .proxy import hav_sql, table, with_
-from .queries import ASSIGN, METRES, REVENUE, SERVICE, TIMED, WALK, _ranking, _segments, _survey, _timed, query, r4
+from .queries import ASSIGN, METRES, REVENUE, SERVICE, TIMED, WALK, _ranking, _segments, _timed, query, r4
 from .queries_sources import EDGES, IMPORT, RUNS, bearing_sql, imported, paths, point_edge_sql
 
 # feed
@@ -357,6 +357,7 @@ def d18_line_detail(spark, d):
        + "SELECT r1, r2, round(trips, 4) AS trips, od_pairs, round(trips/MAX(trips) OVER (), 5) AS share, COALESCE(alternatives, 1) > 5 AS weak, CAST(COUNT(*) OVER () AS BIGINT) AS total FROM dy ORDER BY round(trips, 6) DESC, r1, r2 LIMIT 10")
 def d20_ranked_page(spark, d):
     r = feed.named_routes(px.routes(spark, d), "short_name")
-    rows = transfers.ranking_page(_ranking(spark, d).withColumn("trips", F.round("trips", 6)), r, demand.hotspots(_survey(spark, d)), None, 10)
+    ranking, cells = _ranking(spark, d)
+    rows = transfers.ranking_page(ranking.withColumn("trips", F.round("trips", 6)), r, cells, None, 10)
     return rows.select("r1", "r2", r4("trips").alias("trips"), "od_pairs", F.round("share", 5).alias("share"), "weak", "total")
 

@@ -10,36 +10,54 @@ from ..operators.relational import distance_join, page
 from ..policy import TransferPolicy, clamp_page
 
 
-def transfer_points(route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy()) -> DataFrame:
-    """For each ordered pair of routes the shortest walk between their stops (ties: stop ids), in whole metres."""
-    here = stops.select(F.col("stop_id").alias("from_stop"), "lon", "lat")
-    there = stops.select(F.col("stop_id").alias("to_stop"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    near = distance_join(here, there, policy.walk_m).select("from_stop", "to_stop", "distance_m")
+def transfer_points(
+    route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy(), leaving: DataFrame | None = None, joining: DataFrame | None = None
+) -> DataFrame:
+    """For each ordered pair of routes the shortest walk between their stops (ties: stop ids), in whole metres.
+
+    ``leaving`` and ``joining`` (``route_id``) name the first and second routes that are asked for; all without them.
+    """
     served = route_stops.select("route_id", "stop_id").distinct()
-    rows = near.join(served.select(F.col("route_id").alias("r1"), F.col("stop_id").alias("from_stop")), "from_stop")
-    rows = rows.join(served.select(F.col("route_id").alias("r2"), F.col("stop_id").alias("to_stop")), "to_stop").where("r1 <> r2")
+    one, two = (served if asked is None else served.join(asked, "route_id", "left_semi") for asked in (leaving, joining))
+    here, there = stops.select(F.col("stop_id").alias("from_stop"), "lon", "lat"), stops.select(F.col("stop_id").alias("to_stop"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    one, two = one.select(F.col("route_id").alias("r1"), F.col("stop_id").alias("from_stop")), two.select(F.col("route_id").alias("r2"), F.col("stop_id").alias("to_stop"))
+    here, there = here.join(one.hint("merge"), "from_stop"), there.join(two.hint("merge"), "to_stop")
+    # the side that is copied to the buckets around it is the one that may be few
+    rows = distance_join(there, here, policy.walk_m, ("r_lon", "r_lat"), ("lon", "lat"), where=F.col("r1") != F.col("r2")).select("r1", "r2", "from_stop", "to_stop", "distance_m")
     best = rows.groupBy("r1", "r2").agg(F.min_by(F.struct("from_stop", "to_stop", "distance_m"), F.struct("distance_m", "from_stop", "to_stop")).alias("t"))
     return best.select("r1", "r2", "t.from_stop", "t.to_stop", F.bround("t.distance_m").cast("long").alias("walk_m"))
 
 
 def cell_service(cells: DataFrame, route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy()) -> DataFrame:
     """Routes that stop near a cell, with the first and last sequence numbers of those stops."""
-    at = stops.select("stop_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    near = distance_join(cells.select("cell", "lon", "lat"), at, policy.access_m).select("cell", "stop_id")
-    return near.join(route_stops.select("route_id", "stop_id", "stop_seq"), "stop_id").groupBy("cell", "route_id").agg(F.min("stop_seq").alias("min_seq"), F.max("stop_seq").alias("max_seq"))
+    at = cells.select("cell", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    near = distance_join(stops.select("stop_id", "lon", "lat"), at, policy.access_m).select("cell", "stop_id")
+    return near.join(route_stops.select("route_id", "stop_id", "stop_seq").hint("merge"), "stop_id").groupBy("cell", "route_id").agg(F.min("stop_seq").alias("min_seq"), F.max("stop_seq").alias("max_seq"))
+
+
+def _ends(service: DataFrame) -> tuple[DataFrame, DataFrame]:
+    o = service.select(F.col("cell").alias("origin"), F.col("route_id").alias("r1"), F.col("min_seq").alias("board_seq"))
+    return o, service.select(F.col("cell").alias("dest"), F.col("route_id").alias("r2"), F.col("max_seq").alias("leave_seq"))
+
+
+def indirect(pairs: DataFrame, service: DataFrame) -> DataFrame:
+    """Cell pairs that no route serves directly.
+
+    A route's cells are paired within the route, and equal pairs of many routes fall together before
+    the shuffle; a pair of cells never meets all the routes at its origin.
+    """
+    o, d = _ends(service)
+    same = o.hint("merge").join(d.withColumnRenamed("r2", "r1"), "r1").where("leave_seq > board_seq")
+    return pairs.join(same.select("origin", "dest").distinct(), ["origin", "dest"], "left_anti")
 
 
-def itineraries(pairs: DataFrame, service: DataFrame, transfers: DataFrame, route_stops: DataFrame) -> DataFrame:
-    """Feasible one-transfer itineraries of cell pairs that no route serves directly.
+def itineraries(left: DataFrame, service: DataFrame, transfers: DataFrame, route_stops: DataFrame) -> DataFrame:
+    """Feasible one-transfer itineraries of ``left``, the cell pairs that no route serves directly (``indirect``).
 
     ``transfers``: ``r1, r2, from_stop, to_stop``. The rider leaves the first route after boarding
     it and joins the second before leaving it.
     """
-    o = service.select(F.col("cell").alias("origin"), F.col("route_id").alias("r1"), F.col("min_seq").alias("board_seq"))
-    d = service.select(F.col("cell").alias("dest"), F.col("route_id").alias("r2"), F.col("max_seq").alias("leave_seq"))
-    same = pairs.join(o, "origin").join(d.withColumnRenamed("r2", "r1"), ["dest", "r1"])
-    direct = same.where("leave_seq > board_seq").select("origin", "dest").distinct()
-    left = checkpointed(pairs.join(direct, ["origin", "dest"], "left_anti"))
+    o, d = _ends(service)
     rows = left.join(o, "origin").join(transfers, "r1").join(d, ["dest", "r2"])
     off = route_stops.groupBy(F.col("route_id").alias("r1"), F.col("stop_id").alias("from_stop")).agg(F.max("stop_seq").alias("off_seq"))
     on = route_stops.groupBy(F.col("route_id").alias("r2"), F.col("stop_id").alias("to_stop")).agg(F.min("stop_seq").alias("on_seq"))
@@ -96,11 +114,29 @@ def ranking_page(ranking: DataFrame, routes: DataFrame, cells: DataFrame, hour:
     return top.crossJoin(F.broadcast(total)).withColumns({"share": F.try_divide("trips", "most"), "weak": weak}).orderBy(F.desc("trips"), "r1", "r2")
 
 
+#: First routes, about so many, over which pairs with too many itineraries are told before all are tried.
+PART_ROUTES = (2, 64)
+
+
 def build_ranking(od: DataFrame, cells: DataFrame, route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy()) -> DataFrame:
-    """The whole pipeline from cell pairs by hour to the ranking; what several steps read is written once."""
-    od, points = checkpointed(od), checkpointed(transfer_points(route_stops, stops, policy).select("r1", "r2", "from_stop", "to_stop"))
-    service = checkpointed(cell_service(cells, route_stops, stops, policy))
-    found = itineraries(od.select("origin", "dest").distinct(), service, points, route_stops)
+    """The whole pipeline from cell pairs by hour to the ranking; what several steps read is written once.
+
+    Walks are sought only between routes that serve an origin and a destination which no route connects. A pair
+    with more itineraries than allowed over a part of its first routes has too many over all of them, so growing
+    parts settle the pairs that many routes serve before the walks of all routes are formed for the others.
+    """
+    od, service = checkpointed(od), checkpointed(cell_service(cells, route_stops, stops, policy))
+    left = checkpointed(indirect(od.select("origin", "dest").distinct(), service))
+    serving = lambda end: service.join(left.select(F.col(end).alias("cell")).distinct(), "cell", "left_semi").select("route_id").distinct()
+    routes = serving("origin").count()
+    for size in PART_ROUTES:
+        if routes > 2 * size:
+            leaving = serving("origin").where(F.pmod(F.xxhash64("route_id"), F.lit(routes // size)) == 0)
+            points = checkpointed(transfer_points(route_stops, stops, policy, leaving, serving("dest")).select("r1", "r2", "from_stop", "to_stop"))
+            many = itineraries(left, service, points, route_stops).groupBy("origin", "dest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > policy.max_alternatives)
+            left = checkpointed(left.join(many, ["origin", "dest"], "left_anti"))
+    points = checkpointed(transfer_points(route_stops, stops, policy, serving("origin"), serving("dest")).select("r1", "r2", "from_stop", "to_stop"))
+    found = itineraries(left, service, points, route_stops)
     return rank_transfers(attribute(od, found, policy))
 
 
