@@ -107,7 +107,8 @@ def priced_edges(edges: DataFrame, traffic: DataFrame, policy: DetourPolicy = De
     a = e.select("edge_id", F.explode(samples(F.col("path"), reach)).alias("s")).select("edge_id", "s.lon", "s.lat")
     b = t.select("t_id", F.explode(samples(F.col("t_path"), reach)).alias("s")).select("t_id", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
     pairs = distance_join(a, b, 2 * reach).select("edge_id", "t_id").distinct()
-    near = pairs.join(e, "edge_id").join(t, "t_id").withColumn("line_m", path_distance(F.col("path"), F.col("t_path"))).where(F.col("line_m") <= reach)
+    near = pairs.join(e.hint("merge"), "edge_id").join(t.hint("merge"), "t_id").withColumn("line_m", path_distance(F.col("path"), F.col("t_path"))).where(F.col("line_m") <= reach)
+    near = checkpointed(near.drop("path", "t_path"))  # lines are measured once for both uses
     angle = angle_diff(F.col("azimuth"), F.col("t_azimuth"))
     along = (F.col("line_m") <= policy.match_m) & (F.least(angle, 180 - angle) <= policy.match_angle)
     full, one = F.col("road_coverage") == "full", F.col("road_coverage") == "one_side"
@@ -159,7 +160,7 @@ def snap(points: DataFrame, edges: DataFrame, policy: DetourPolicy = DetourPolic
 
     marks = edges.withColumn("s", F.explode(samples(F.col("path"), policy.snap_m))).select("edge_id", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
     near = distance_join(points, marks, 2 * policy.snap_m).select("point_id", "lon", "lat", "heading", "edge_id").distinct()
-    rows = near.join(edges.select("edge_id", "path", "reverse_cost", "blocked"), "edge_id").withColumn("o", on_edge("lon", "lat", "path")).where(F.col("o.distance") <= policy.snap_m)
+    rows = near.join(edges.select("edge_id", "path", "reverse_cost", "blocked").hint("merge"), "edge_id").withColumn("o", on_edge("lon", "lat", "path")).where(F.col("o.distance") <= policy.snap_m)
     off = angle_diff(F.col("heading"), F.col("o.heading"))
     off = F.when(F.col("reverse_cost") >= 0, F.least(off, 180 - off)).otherwise(off)
     rows = rows.where(F.col("heading").isNull() | (off <= max_angle))
