@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import edges, haversine, samples
+from ..operators.checkpoints import checkpointed
 from ..operators.relational import distance_join, top_n
 from ..streaming.bottlenecks import project
 
@@ -77,11 +78,23 @@ def classify(scored: DataFrame, other: DataFrame | None = None, least: float = 0
 
 
 def candidate_shapes(positions: DataFrame, shapes: DataFrame, cell_deg: float = 0.005, n: int = 15) -> DataFrame:
-    """Inverted index of shapes by grid cells, probed with 3 x 3 cells; the most hit shapes of each identity."""
+    """Inverted index of shapes by grid cells, probed with 3 x 3 cells; the most hit shapes of each identity.
+
+    Shapes of the same cells are hit alike, so that only the first ``n`` of them can be among the most hit, and
+    observations of the same cells count together. So the join follows the number of cells, not that of rows times shapes.
+    """
     cell = lambda lon, lat: (F.floor(lon / cell_deg), F.floor(lat / cell_deg))
     x, y = cell(F.col("pt.lon"), F.col("pt.lat"))
-    index = shapes.select("shape_id", F.explode("path").alias("pt")).select("shape_id", x.alias("x"), y.alias("y")).distinct()
+    passed = shapes.select("shape_id", F.explode("path").alias("pt")).select("shape_id", F.struct(x.alias("x"), y.alias("y")).alias("c")).where("c.x IS NOT NULL AND c.y IS NOT NULL")
+    alike = checkpointed(passed.groupBy("shape_id").agg(F.array_sort(F.collect_set("c")).alias("cells")))
+    classes = checkpointed(alike.select("cells").distinct().withColumn("class", F.monotonically_increasing_id()))
+    around = F.flatten(F.transform("cells", lambda c: F.array(*[F.struct((c["x"] + i).alias("x"), (c["y"] + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+    index = classes.select("class", F.explode(F.array_distinct(around)).alias("c"))
     px, py = cell(F.col("lon"), F.col("lat"))
-    probes = positions.select("identity", "obs_id", F.explode(F.array(*[F.struct((px + i).alias("x"), (py + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))
-    hits = probes.select("identity", "obs_id", "c.x", "c.y").join(index, ["x", "y"]).groupBy("identity", "shape_id").agg(F.count_distinct("obs_id").alias("hits"))
+    at = positions.where(px.isNotNull() & py.isNotNull()).groupBy("identity", "obs_id").agg(F.collect_set(F.struct(px.alias("x"), py.alias("y"))).alias("at"))
+    probes = at.groupBy("identity", F.array_sort("at").alias("at")).agg(F.count("obs_id").alias("obs"))
+    met = probes.select("identity", "at", "obs", F.explode("at").alias("c")).join(index.hint("merge"), "c").groupBy("identity", "class", "at").agg(F.max("obs").alias("obs"))
+    hits = met.groupBy("identity", "class").agg(F.sum("obs").alias("hits"))
+    first = top_n(alike.join(classes.hint("merge"), "cells").select("class", "shape_id"), ["class"], [F.asc("shape_id")], n)
+    hits = hits.join(first, "class").select("identity", "shape_id", "hits")
     return top_n(hits, ["identity"], [F.desc("hits"), F.asc("shape_id")], n, rank="rank")
