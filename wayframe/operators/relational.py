@@ -7,11 +7,12 @@ cost follows the number of near pairs; hot buckets are left to runtime skew spli
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_M, haversine
+from ..functions.geo import DEGREE_M, RADIUS_M, haversine
 
 
 #: Buckets that more bands than may be broadcast are dealt to.
@@ -29,6 +30,19 @@ def _columns_of(band: Column, step: float) -> Column:
     return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1)).cast("long")
 
 
+def _within(lon: Column, lat: Column, cos: Column, r_lon: Column, r_lat: Column, r_cos: Column, radius_m: float, strict: bool) -> Column:
+    """Is the distance at most the radius? Bounds without trigonometry decide all pairs but those at the radius itself.
+
+    They hold the square of half the chord between ``x^2 - x^4/3`` and ``x^2`` of its angles; ``cos`` is that of a side's latitude.
+    """
+    half = math.pi / 360
+    x, y = (lat - r_lat) * (lat - r_lat) * (half * half), (lon - r_lon) * (lon - r_lon) * (half * half)
+    most = math.sin(min(radius_m / (2 * RADIUS_M), math.pi / 2)) ** 2
+    exact = haversine(lon, lat, r_lon, r_lat)
+    near = exact < radius_m if strict else exact <= radius_m
+    return (x - x * x / 3 + (y - y * y / 3) * cos * r_cos <= most * (1 + 1e-9)) & ((x + y * cos * r_cos <= most * (1 - 1e-9)) | near)
+
+
 def distance_join(
     left: DataFrame, right: DataFrame, radius_m: float, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat"),
     on: list[tuple[str, str]] | None = None, strict: bool = False, distance: str = "distance_m", where: Column | None = None,
@@ -41,11 +55,11 @@ def distance_join(
     """
     step = radius_m / DEGREE_M * 1.000001
     lon, lat = F.col(left_at[0]), F.col(left_at[1])
-    left = left.where(lon.isNotNull() & lat.isNotNull()).withColumn("__band", _band(lat, step))
+    left = left.where(lon.isNotNull() & lat.isNotNull()).withColumns({"__band": _band(lat, step), "__cos": F.cos(F.radians(lat))})
     columns = _columns_of(F.col("__band"), step)
     left = left.withColumn("__cell", F.pmod(F.floor((lon + 180.0) / 360.0 * columns).cast("long"), columns))
     r_lon, r_lat = F.col(right_at[0]), F.col(right_at[1])
-    right = right.where(r_lon.isNotNull() & r_lat.isNotNull())
+    right = right.where(r_lon.isNotNull() & r_lat.isNotNull()).withColumn("__r_cos", F.cos(F.radians(r_lat)))
     right = right.withColumn("__r_band", F.explode(F.array(*[_band(r_lat, step) + d for d in (-1, 0, 1)])))
     columns = _columns_of(F.col("__r_band"), step)
     at = F.floor((r_lon + 180.0) / 360.0 * columns).cast("long")
@@ -55,9 +69,9 @@ def distance_join(
         meet &= F.col(a) == F.col(b)
     if where is not None:
         meet &= where
+    meet &= _within(lon, lat, F.col("__cos"), r_lon, r_lat, F.col("__r_cos"), radius_m, strict)
     out = left.join(right.hint("merge"), meet).withColumn(distance, haversine(lon, lat, r_lon, r_lat))
-    near = F.col(distance) < radius_m if strict else F.col(distance) <= radius_m
-    return out.where(near).drop("__band", "__cell", "__r_band", "__r_cell")
+    return out.drop("__band", "__cell", "__cos", "__r_band", "__r_cell", "__r_cos")
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
