@@ -35,3 +35,14 @@ def test_pairs_are_decided_without_trigonometry(spark):
     one, two = sides(spark, [(0.0, 0.0)], [(0.0, 0.001)])
     join = next(line for line in rel.distance_join(one, two, 4000.0)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line)
     assert join.index("__r_cos") < join.index("ASIN")  # the bounds come before the distance
+
+
+def test_first_ring_follows_the_density(spark, monkeypatch):
+    rng = random.Random(2)
+    left, right = [(rng.uniform(-58.9, -58.0), rng.uniform(-34.9, -34.3)) for _ in range(60)], [(rng.uniform(-58.9, -58.0), rng.uniform(-34.9, -34.3)) for _ in range(3000)]
+    one, two = sides(spark, left, right)
+    radii, real = [], rel.distance_join
+    monkeypatch.setattr(rel, "distance_join", lambda a, b, radius, **more: radii.append(radius) or real(a, b, radius, **more))
+    got = {r.a: r.b for r in rel.nearest(one, two, ["a"], 6000.0, ["b"]).collect()}
+    assert got == {a: min(range(len(right)), key=lambda b: metres(p, right[b])) for a, p in enumerate(left)}
+    assert radii[0] < 2000  # some four rows, not hundreds
