@@ -237,6 +237,5 @@ def k08_coverage_summary(spark, d):
 def t07_all_pairs(spark, d):
     policy = BunchingPolicy(max_age_s=7200.0, max_skew_s=0.0)
     snaps = bunching.snapshot(px.captures(spark, d), px.positions(spark, d), policy)
-    rows = bunching.vehicle_pairs(snaps)
-    return rows.groupBy("scope").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.min("distance"), 2).alias("nearest_m"), F.round(F.percentile("distance", F.lit(0.5)), 2).alias("median_m"))
+    return bunching.pair_summary(snaps).select("scope", "pairs", F.round("nearest", 2).alias("nearest_m"), F.round("percentile", 2).alias("median_m"))
 
