@@ -95,6 +95,20 @@ def locate(lon: Column, lat: Column, path: Column) -> Column:
     return F.aggregate(edges(path), start, step, lambda acc: F.when(acc["run"] == 0, 0.0).otherwise(acc["at"] / acc["run"]))
 
 
+def plane_distance(lon: Column, lat: Column, path: Column) -> Column:
+    """Metres of a point to a path on a plane scaled at the point's latitude (exact to a few centimetres within kilometres)."""
+    k = F.cos(F.radians(lat))
+
+    def off(e):
+        dx, dy = (e["q"]["lon"] - e["p"]["lon"]) * k, e["q"]["lat"] - e["p"]["lat"]
+        x, y = (lon - e["p"]["lon"]) * k, lat - e["p"]["lat"]
+        size = dx * dx + dy * dy
+        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x * dx + y * dy) / size))).otherwise(0.0)
+        return F.sqrt((x - t * dx) * (x - t * dx) + (y - t * dy) * (y - t * dy)) * DEGREE_M
+
+    return F.array_min(F.transform(edges(path), off))
+
+
 def midpoint(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> tuple[Column, Column]:
     """Spherical midpoint, also across the date line."""
     a, b = F.radians(lat1), F.radians(lat2)

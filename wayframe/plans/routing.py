@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_M, angle_diff, bearing, path_distance, point_path_distance, samples
+from ..functions.geo import DEGREE_M, angle_diff, bearing, interpolate, locate, path_distance, plane_distance, point_path_distance, samples
 from ..operators import paths
 from ..operators.checkpoints import checkpointed
 from ..operators.relational import distance_join, top_n
@@ -148,19 +148,13 @@ def snap(points: DataFrame, edges: DataFrame, policy: DetourPolicy = DetourPolic
     ``points``: ``point_id, lon, lat, heading`` (null: any); ``edges``: ``edge_id, path, reverse_cost, blocked``.
     """
 
-    @F.pandas_udf("distance double, fraction double, heading double")
-    def on_edge(lon: pd.Series, lat: pd.Series, path: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y, p in zip(lon, lat, path):
-            line = paths.as_array(p)
-            f = paths.locate(line, (x, y))
-            a, b = paths.interpolate(line, max(0.0, f - 0.01)), paths.interpolate(line, min(1.0, f + 0.01))
-            out.append((float(paths.distance_to_path(np.array([[x, y]]), line)[0]), f, paths.bearing(a, b)))
-        return pd.DataFrame(out, columns=["distance", "fraction", "heading"])
-
-    marks = edges.withColumn("s", F.explode(samples(F.col("path"), policy.snap_m))).select("edge_id", F.col("s.lon").alias("r_lon"), F.col("s.lat").alias("r_lat"))
-    near = distance_join(points, marks, 2 * policy.snap_m).select("point_id", "lon", "lat", "heading", "edge_id").distinct()
-    rows = near.join(edges.select("edge_id", "path", "reverse_cost", "blocked").hint("merge"), "edge_id").withColumn("o", on_edge("lon", "lat", "path")).where(F.col("o.distance") <= policy.snap_m)
+    marks = edges.withColumn("s", F.explode(samples(F.col("path"), policy.snap_m))).select("edge_id", F.col("s.lon").alias("m_lon"), F.col("s.lat").alias("m_lat"))
+    # the side that is copied to the buckets around it is the one with a row per point
+    near = distance_join(marks, points.select("point_id", "lon", "lat", "heading"), 2 * policy.snap_m, ("m_lon", "m_lat"), ("lon", "lat")).select("point_id", "lon", "lat", "heading", "edge_id").distinct()
+    rows = near.join(edges.select("edge_id", "path", "reverse_cost", "blocked").hint("merge"), "edge_id")
+    rows = rows.withColumn("distance", plane_distance(F.col("lon"), F.col("lat"), F.col("path"))).where(F.col("distance") <= policy.snap_m).withColumn("fraction", locate(F.col("lon"), F.col("lat"), F.col("path")))
+    before, after = (interpolate(F.col("path"), F.col("fraction") + d) for d in (-0.01, 0.01))
+    rows = rows.withColumns({"__a": before, "__b": after}).withColumn("o", F.struct("distance", "fraction", bearing(F.col("__a.lon"), F.col("__a.lat"), F.col("__b.lon"), F.col("__b.lat")).alias("heading")))
     off = angle_diff(F.col("heading"), F.col("o.heading"))
     off = F.when(F.col("reverse_cost") >= 0, F.least(off, 180 - off)).otherwise(off)
     rows = rows.where(F.col("heading").isNull() | (off <= max_angle))
