@@ -2,14 +2,132 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import RADIUS_M
 from ..operators.checkpoints import checkpointed
 from ..operators.relational import distance_join, page
 from ..policy import TransferPolicy, clamp_page
 
 
+#: Stops of a block of second routes; first stops, and pairs of routes, that are held at once; candidates of a step.
+BLOCK_STOPS, STOPS, ROUTE_PAIRS, CANDIDATES = 100_000, 2_000, 4_000_000, 1_000_000
+
+
+def _runs(batches):
+    """``block, side, rows``: the rows of each block in turn, the second routes' whole, the first routes' cut between routes."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(rows: pa.Table, whole: bool):
+        names = [rows[c].combine_chunks() for c in ("block", "side", "route_id")]
+        change = [np.zeros(0, bool)] if rows.num_rows < 2 else [pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in names]
+        block = np.any(change[:2], axis=0) if len(change) > 1 else change[0]
+        ends = np.append(np.flatnonzero(np.any(change, axis=0)) + 1, rows.num_rows)
+        start = 0
+        for k, end in enumerate(ends):
+            last = end == rows.num_rows
+            if last and not whole:
+                break
+            first = rows["side"][start].as_py() == 1
+            if last or block[end - 1] or (first and ends[k + 1] - start > STOPS):
+                yield rows["block"][start].as_py(), first, rows.slice(start, end - start)
+                start = end
+        held[:] = rows.slice(start).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        yield from cut(pa.Table.from_batches(held), False)
+    if held:
+        yield from cut(pa.Table.from_batches(held), True)
+
+
+def _shortest_walks(batches, walk_m: float):
+    """``r1, r2, from_stop, to_stop, walk_m`` of blocks of routes: stops meet in cubes as wide as the walk's chord."""
+    chord = 2 * math.sin(min(walk_m / (2 * RADIUS_M), math.pi / 2))
+    width = max(chord * (1 + 1e-6), 1e-6)
+    side_cells = int(2 / width) + 4
+    key = lambda x, y, z: (x * side_cells + y) * side_cells + z
+    current, second = None, None
+
+    def placed(rows: pa.Table):
+        lon, lat = np.radians(rows["lon"].to_numpy()), np.radians(rows["lat"].to_numpy())
+        point = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+        return lon, lat, point, np.floor((point + 1) / width).astype(np.int64) + 1
+
+    def coded(values) -> tuple[pa.Array, np.ndarray]:
+        """Distinct values in their order, and each row's place among them."""
+        names = pc.unique(values)
+        names = names.take(pc.sort_indices(names))
+        return names, pc.index_in(values, names).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    for block, first, rows in _runs(batches):
+        if not first:
+            lon2, lat2, point2, cell2 = placed(rows)
+            cells = key(*cell2)
+            order = np.argsort(cells, kind="stable")
+            routes2, route2 = coded(rows["route_id"].combine_chunks())
+            stops2, stop2 = coded(rows["stop_id"].combine_chunks())
+            current, second = block, (cells[order], lon2[order], lat2[order], point2[:, order], route2[order], stop2[order])
+            continue
+        if current != block:
+            continue  # no second route in this block
+        cells, lon2, lat2, point2, route2, stop2 = second
+        routes_1, route_1 = coded(rows["route_id"].combine_chunks())
+        at_once = max(1, ROUTE_PAIRS // len(routes2))
+        for low in range(0, len(routes_1), at_once):
+            mine = rows.filter(pa.array((route_1 >= low) & (route_1 < low + at_once))) if len(routes_1) > at_once else rows
+            routes1, route1 = coded(mine["route_id"].combine_chunks())
+            stops1, stop1 = coded(mine["stop_id"].combine_chunks())
+            lon1, lat1, point1, cell1 = placed(mine)
+            best, code = np.full(len(routes1) * len(routes2), np.inf), np.full(len(routes1) * len(routes2), np.iinfo(np.int64).max)
+            starts, sizes = [], []
+            for dx in (-1, 0, 1):
+                for dy in (-1, 0, 1):
+                    base = key(cell1[0] + dx, cell1[1] + dy, cell1[2])
+                    a, b = np.searchsorted(cells, base - 1), np.searchsorted(cells, base + 1, side="right")
+                    starts.append(a)
+                    sizes.append(b - a)
+            starts, sizes, who = np.concatenate(starts), np.concatenate(sizes), np.tile(np.arange(len(lon1)), 9)
+            steps = np.searchsorted(np.cumsum(sizes), np.arange(CANDIDATES, sizes.sum() + CANDIDATES, CANDIDATES)) + 1
+            for a, b in zip([0, *steps[:-1]], steps):
+                size = sizes[a:b]
+                i = np.repeat(who[a:b], size)
+                j = np.repeat(starts[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                square = sum((p[i] - q[j]) ** 2 for p, q in zip(point1, point2))
+                near = square <= chord * chord * (1 + 1e-6) + 1e-18
+                i, j = i[near], j[near]
+                h = np.sin((lat2[j] - lat1[i]) / 2) ** 2 + np.cos(lat1[i]) * np.cos(lat2[j]) * np.sin((lon2[j] - lon1[i]) / 2) ** 2
+                metres = 2 * RADIUS_M * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+                pair = route1[i] * len(routes2) + route2[j]
+                old = best[pair]
+                keep = (metres <= walk_m) & (metres <= old)
+                i, j, pair, metres, old = i[keep], j[keep], pair[keep], metres[keep], old[keep]
+                np.minimum.at(best, pair, metres)
+                won = metres == best[pair]
+                i, j, pair, nearer = i[won], j[won], pair[won], metres[won] < old[won]
+                code[pair[nearer]] = np.iinfo(np.int64).max
+                np.minimum.at(code, pair, stop1[i] * len(stops2) + stop2[j])
+            same = pc.index_in(routes1, routes2).to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(~np.isnan(same.astype(float)))
+            best[own * len(routes2) + same[own].astype(np.int64)] = np.inf  # a route is no transfer to itself
+            found = np.flatnonzero(np.isfinite(best))
+            for k in range(0, len(found), 100_000):
+                part = found[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        routes1.take(pa.array(part // len(routes2))), routes2.take(pa.array(part % len(routes2))), stops1.take(pa.array(code[part] // len(stops2))),
+                        stops2.take(pa.array(code[part] % len(stops2))), pa.array(np.rint(best[part]).astype(np.int64)),
+                    ],
+                    names=["r1", "r2", "from_stop", "to_stop", "walk_m"],
+                )
+
+
 def transfer_points(
     route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy(), leaving: DataFrame | None = None, joining: DataFrame | None = None
 ) -> DataFrame:
@@ -19,13 +137,20 @@ def transfer_points(
     """
     served = route_stops.select("route_id", "stop_id").distinct()
     one, two = (served if asked is None else served.join(asked, "route_id", "left_semi") for asked in (leaving, joining))
-    here, there = stops.select(F.col("stop_id").alias("from_stop"), "lon", "lat"), stops.select(F.col("stop_id").alias("to_stop"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    one, two = one.select(F.col("route_id").alias("r1"), F.col("stop_id").alias("from_stop")), two.select(F.col("route_id").alias("r2"), F.col("stop_id").alias("to_stop"))
-    here, there = here.join(one.hint("merge"), "from_stop"), there.join(two.hint("merge"), "to_stop")
-    # the side that is copied to the buckets around it is the one that may be few
-    rows = distance_join(there, here, policy.walk_m, ("r_lon", "r_lat"), ("lon", "lat"), where=F.col("r1") != F.col("r2")).select("r1", "r2", "from_stop", "to_stop", "distance_m")
-    best = rows.groupBy("r1", "r2").agg(F.min_by(F.struct("from_stop", "to_stop", "distance_m"), F.struct("distance_m", "from_stop", "to_stop")).alias("t"))
-    return best.select("r1", "r2", "t.from_stop", "t.to_stop", F.bround("t.distance_m").cast("long").alias("walk_m"))
+    at = stops.where("lon IS NOT NULL AND lat IS NOT NULL").select("stop_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
+    one, two = (checkpointed(side.join(at.hint("merge"), "stop_id").where("route_id IS NOT NULL")) for side in (one, two))
+    n, m = one.count(), two.count()
+    # a group is a block of first routes with a block of second ones, so that each pair of routes is whole within its group
+    lefts, rights = max(1, min(-(-n // (BLOCK_STOPS // 4)), max(8, -(-n // BLOCK_STOPS)))), max(1, -(-m // BLOCK_STOPS))
+    block = lambda k: F.pmod(F.xxhash64("route_id"), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    one = one.withColumn("other", every(rights)).select((block(lefts) * rights + F.col("other")).alias("block"), F.lit(1).alias("side"), "route_id", "stop_id", "lon", "lat")
+    two = two.withColumn("other", every(lefts)).select((F.col("other") * rights + block(rights)).alias("block"), F.lit(0).alias("side"), "route_id", "stop_id", "lon", "lat")
+    kinds = dict(one.dtypes)
+    rows = one.union(two).repartition("block").sortWithinPartitions("block", "side", "route_id")
+    schema = f"r1 {kinds['route_id']}, r2 {kinds['route_id']}, from_stop {kinds['stop_id']}, to_stop {kinds['stop_id']}, walk_m long"
+    walk_m = policy.walk_m
+    return rows.mapInArrow(lambda batches: _shortest_walks(batches, walk_m), schema)
 
 
 def cell_service(cells: DataFrame, route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy()) -> DataFrame:
