@@ -238,16 +238,17 @@ BROADCAST_IDS = 2_000_000
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, similarity: float | None = None) -> DataFrame:
     """``docs`` with the smallest id of every component only (rows without an id stay); columns unchanged.
 
-    With ``similarity``, texts link by the Jaccard similarity of their five-word shingles instead:
+    With ``similarity``, texts link by the Jaccard similarity of their five-word shingles besides:
     texts of 0.8 differ in about 10 of 64 bits and up to 18, and no covering code reaches that far
-    with a bearable number of anchors, so those links come from ``similar``.
+    with a bearable number of anchors, so ``similar`` adds those links to the fingerprints' own.
     """
-    if similarity is None:
-        found = components(docs, id_col, text_col, threshold)
-    else:
+    found = components(docs, id_col, text_col, threshold).select("doc_id", "component_id")
+    if similarity is not None:
         from .similar import components as similar_components
 
-        found = similar_components(docs, id_col, text_col, similarity=similarity)
+        found = found.union(similar_components(docs, id_col, text_col, similarity=similarity))
+        # both kinds of links form components together
+        found = connected(found.where("doc_id <> component_id"), "doc_id", "component_id").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     name = unused(docs, "__gone")
     gone = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
     if gone.count() <= BROADCAST_IDS:
