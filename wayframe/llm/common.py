@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import checkpointed, shared_folder
 
-__all__ = ["bloom_hits", "bloom_table", "checkpointed", "filled", "shared_folder", "shuffle_partitions", "table", "unused"]
+__all__ = ["bloom_hits", "bloom_table", "checkpointed", "filled", "forget", "kept", "shared_folder", "shuffle_partitions", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +37,28 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: What a Python worker keeps between tasks. Workers live on through the stages of a pipeline. A nested function is sent
+#: with a copy of the globals that it names, so a dictionary beside it would be empty again in every task.
+_KEPT: dict[Any, Any] = {}
+
+
+def forget() -> None:
+    """Gives back what earlier tasks left in this worker, to the system too."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # glibc only
+
+
+def kept(name: Any, make: Callable[[], Any]) -> Any:
+    """The worker's object of that name, made if it is not the one that it keeps; it keeps one at a time."""
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 #: Blocked Bloom filters: bits per key, bits set per key, words of 64 bits per block.
 BITS_PER_KEY, PROBES, WORDS = 16, 6, 8
 #: Blocks of 72 bytes that may be broadcast (36 MB).

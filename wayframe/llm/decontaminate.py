@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filled, unused
+from .common import checkpointed, filled, forget, unused
 
 MIN_MATCH, THRESHOLD = 5, 0.8
 BROADCAST_BYTES = 64 << 20
@@ -216,6 +216,7 @@ def _columns(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str
     @F.pandas_udf(DECISION)
     def decide(texts: pd.Series) -> pd.DataFrame:
         if not made:
+            forget()
             made.append(Benchmark(sent.value, min_match, threshold))
         names = [part.split(" ")[0] for part in DECISION.split(", ")]
         return pd.DataFrame([made[0].decide(t) for t in texts], columns=names).astype({"contaminated": bool, "best_item": "Int64", "tiles": "int32", "coverage": "float64"})

@@ -21,6 +21,7 @@ an empty result; extra columns, whatever their names, are kept by ``keep_known``
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, unused
+from .common import checkpointed, kept, unused
 
 FIT_DOCS, VOCABULARY, ORDERS = 10_000, 100_000, (4, 3, 2, 1)
 #: A document whose best language has less of the probability is rejected in the pipeline.
@@ -193,20 +194,16 @@ def _share(kind):
     return out
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def predictor(spark, counts: list[tuple[str, int, str, int]]):
     """A column function from texts to ``lang_pred, score``."""
-    sent = spark.sparkContext.broadcast(counts)  # about ``vocabulary`` rows
-    name = zlib.crc32(repr(counts).encode())
+    packed = zlib.compress(pickle.dumps(counts))  # about ``vocabulary`` rows; workers keep what is sent besides the model
+    sent = spark.sparkContext.broadcast(packed)
+    name = ("language", zlib.crc32(packed), len(packed))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = Model(sent.value)
-        return pd.DataFrame(_MODELS[name].predict(texts.tolist()), columns=["lang_pred", "score"])
+        model = kept(name, lambda: Model(pickle.loads(zlib.decompress(sent.value))))
+        return pd.DataFrame(model.predict(texts.tolist()), columns=["lang_pred", "score"])
 
     return predict
 

@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 SEQUENCE, CLOSING_ID = 2048, 0
 #: Pieces per packing group, and words kept in a worker's cache, none of them longer than this.
-GROUP_PIECES, CACHE_WORDS, CACHED_LENGTH = 4096, 250_000, 64
+GROUP_PIECES, CACHE_WORDS, CACHED_LENGTH = 4096, 100_000, 64
 
 
 def default_tokenizer() -> str:
@@ -106,19 +108,14 @@ class WordTokenizer:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_TOKENIZERS: dict[int, WordTokenizer] = {}
-
-
 def pieces_of(docs: DataFrame, tokenizer_path: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each document's ids with the closing id, cut to sequences."""
     source = open(tokenizer_path or default_tokenizer(), encoding="utf-8").read()  # a fixed file of a few MB
     sent = docs.sparkSession.sparkContext.broadcast(source)
-    name = zlib.crc32(source.encode())
+    name = ("tokenizer", zlib.crc32(source.encode()))
 
     def run(batches):
-        if name not in _TOKENIZERS:
-            _TOKENIZERS[name] = WordTokenizer(sent.value)
-        encode, step, end = _TOKENIZERS[name].encode, 4 * sequence, struct.pack("<I", CLOSING_ID)
+        encode, step, end = kept(name, lambda: WordTokenizer(sent.value)).encode, 4 * sequence, struct.pack("<I", CLOSING_ID)
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, unused
+from .common import checkpointed, forget, kept, unused
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Distinct fingerprints above which the third block joins the code.
@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, fp``: fingerprints as signed 64-bit integers."""
 
     def run(batches):
+        forget()
         for batch in batches:
             values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
@@ -163,14 +164,11 @@ class Anchors:
                 yield (first, *rest)
 
 
-_ANCHORS: dict[tuple[int, int], Anchors] = {}
-
-
 def at_anchors(distinct: DataFrame, blocks: int, threshold: int, home: bool) -> DataFrame:
     """``anchor, fp``: each fingerprint at its home, or at all anchors that it visits."""
 
     def run(batches):
-        code = _ANCHORS.setdefault((blocks, threshold), Anchors(blocks, threshold))
+        code = kept(("anchors", blocks, threshold), lambda: Anchors(blocks, threshold))
         for batch in batches:
             values = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(values), 4096):

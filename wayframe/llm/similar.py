@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, forget
 from .simhash import connected
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -119,6 +119,7 @@ def prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col, shingle))
 
     def run(batches):
+        forget()
         keys, counts = frequent.value
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             sets, firsts = [shingles(t.as_py(), shingle) for t in batch.column(2)], []
@@ -203,6 +204,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar
         pairs = pairs.join(dealt, [side, "copy"]).drop("copy")
 
     def run(batches):
+        forget()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
