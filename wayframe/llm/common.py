@@ -9,12 +9,13 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import checkpointed, shared_folder
 
-__all__ = ["bloom_hits", "bloom_table", "checkpointed", "filled", "forget", "kept", "shared_folder", "shuffle_partitions", "table", "unused"]
+__all__ = ["bloom_hits", "bloom_table", "checkpointed", "filled", "forget", "forget_driver", "kept", "shared_folder", "shuffle_partitions", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,30 @@ def forget() -> None:
     getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # glibc only
 
 
+#: The JVM's command for it.
+TRIM = "systemTrimNativeHeap"
+
+
+def forget_driver(spark: SparkSession) -> bool:
+    """Gives back to the system what the driver's JVM has freed outside its heap; tells whether it could.
+
+    Every exchange takes a thread of its own for a minute, and many rounds of small jobs leave the C library's arenas of
+    all those threads behind. A JVM that has no such command is left as it is.
+    """
+    try:
+        jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+        kind, thing, text = jvm.java.lang.Class.forName, jvm.java.lang.Object, jvm.java.lang.String
+        kinds, values = array(jvm.java.lang.Class, 4), array(thing, 4)
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        for k, (of, value) in enumerate([("javax.management.ObjectName", name), ("java.lang.String", TRIM), ("[Ljava.lang.Object;", array(thing, 0)), ("[Ljava.lang.String;", array(text, 0))]):
+            kinds[k], values[k] = kind(of), value
+        # by the interface's method, as the server's own class is not open to reflection
+        kind("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+        return True
+    except (AttributeError, Py4JError):  # no classic session, or no such command
+        return False
+
+
 def kept(name: Any, make: Callable[[], Any]) -> Any:
     """The worker's object of that name, made if it is not the one that it keeps; it keeps one at a time."""
     if name not in _KEPT:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, forget, kept, unused
+from .common import checkpointed, forget, forget_driver, kept, unused
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Distinct fingerprints above which the third block joins the code.
@@ -208,6 +208,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        forget_driver(edges.sparkSession)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
