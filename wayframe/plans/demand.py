@@ -39,6 +39,20 @@ def transfer_od(trips: DataFrame) -> DataFrame:
     return rows.groupBy("origin", "dest", "hour").agg(weighted_sum(F.col("weight").cast("double")).alias("trips"))
 
 
+def ends_and_transfers(trips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hotspots`` and ``transfer_od`` from one pass over the survey, whose sums are written once."""
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda cell, dest, lon, lat, hour: F.struct(F.col(cell).alias("origin"), dest.alias("dest"), lon.alias("lon"), lat.alias("lat"), hour.alias("hour"))
+    end = lambda e: row(e, none("string"), F.col(f"{e}_lon"), F.col(f"{e}_lat"), none("int"))
+    changed = F.expr("stages > 1 AND stages = bus_stages AND dest IS NOT NULL AND hour IS NOT NULL")
+    flow = F.when(changed, row("origin", F.col("dest"), none("double"), none("double"), F.col("hour")))
+    rows = trips.select(F.explode(F.array(end("origin"), end("dest"), flow)).alias("e"), "weight").select("e.*", "weight").where("origin IS NOT NULL")
+    sums = checkpointed(rows.groupBy("origin", "dest", "lon", "lat", "hour").agg(F.sum(F.coalesce("weight", F.lit(0.0)).cast("double")).alias("trips"), F.count(F.lit(1)).alias("n")))
+    best = F.min_by(F.struct("lon", "lat"), F.struct((-F.col("trips")).alias("w"), (-F.col("n")).alias("n"), "lat", "lon"))
+    points = sums.where("dest IS NULL").groupBy(F.col("origin").alias("cell")).agg(best.alias("p")).select("cell", "p.lon", "p.lat")
+    return points, sums.where("dest IS NOT NULL").select("origin", "dest", "hour", "trips")
+
+
 def cell_candidates(route_stops: DataFrame, cells: DataFrame, grid=None, policy: DemandPolicy = DemandPolicy()) -> DataFrame:
     """Cells whose point is nearer than the access radius to a stop, from the stop's cell and its neighbours.
 

@@ -610,9 +610,9 @@ SERVICE = f"""service AS (SELECT cell, route_id, MIN(stop_seq) AS min_seq, MAX(s
 
 def _ranking(spark, d):
     """The ranking, and the cells with their points."""
-    trips = _survey(spark, d)
-    s, cells = px.stops(spark, d), checkpointed(demand.hotspots(trips))
-    return transfers.build_ranking(demand.transfer_od(trips), cells, px.route_stops(spark, d), s, RANK_POLICY), cells
+    ends, od = demand.ends_and_transfers(_survey(spark, d))
+    s, cells = px.stops(spark, d), checkpointed(ends)
+    return transfers.build_ranking(od, cells, px.route_stops(spark, d), s, RANK_POLICY), cells
 
 
 @query(with_("cells", "route_stops", more=WALK + ",\n" + SERVICE + """,

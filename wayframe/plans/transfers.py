@@ -48,7 +48,10 @@ def _runs(batches):
 
 
 def _shortest_walks(batches, walk_m: float):
-    """``r1, r2, from_stop, to_stop, walk_m`` of blocks of routes: stops meet in cubes as wide as the walk's chord."""
+    """``r1, r2, from_stop, to_stop, walk_m`` of blocks of routes: stops meet in cubes as wide as the walk's chord.
+
+    Rows with ``seq`` give ``off_seq`` and ``on_seq`` besides, those of the first route's stop and the second's.
+    """
     chord = 2 * math.sin(min(walk_m / (2 * RADIUS_M), math.pi / 2))
     width = max(chord * (1 + 1e-6), 1e-6)
     side_cells = int(2 / width) + 4
@@ -66,6 +69,14 @@ def _shortest_walks(batches, walk_m: float):
         names = names.take(pc.sort_indices(names))
         return names, pc.index_in(values, names).to_numpy(zero_copy_only=False).astype(np.int64)
 
+    def numbered(rows: pa.Table, route, stop, n: int):
+        """``seq`` of each (route, stop), sorted by their code; None without it."""
+        if "seq" not in rows.column_names:
+            return None
+        codes, seq = route * n + stop, rows["seq"].to_numpy()
+        order = np.argsort(codes, kind="stable")
+        return codes[order], seq[order]
+
     for block, first, rows in _runs(batches):
         if not first:
             lon2, lat2, point2, cell2 = placed(rows)
@@ -73,17 +84,18 @@ def _shortest_walks(batches, walk_m: float):
             order = np.argsort(cells, kind="stable")
             routes2, route2 = coded(rows["route_id"].combine_chunks())
             stops2, stop2 = coded(rows["stop_id"].combine_chunks())
-            current, second = block, (cells[order], lon2[order], lat2[order], point2[:, order], route2[order], stop2[order])
+            current, second = block, (cells[order], lon2[order], lat2[order], point2[:, order], route2[order], stop2[order], numbered(rows, route2, stop2, len(stops2)))
             continue
         if current != block:
             continue  # no second route in this block
-        cells, lon2, lat2, point2, route2, stop2 = second
+        cells, lon2, lat2, point2, route2, stop2, seqs2 = second
         routes_1, route_1 = coded(rows["route_id"].combine_chunks())
         at_once = max(1, ROUTE_PAIRS // len(routes2))
         for low in range(0, len(routes_1), at_once):
             mine = rows.filter(pa.array((route_1 >= low) & (route_1 < low + at_once))) if len(routes_1) > at_once else rows
             routes1, route1 = coded(mine["route_id"].combine_chunks())
             stops1, stop1 = coded(mine["stop_id"].combine_chunks())
+            seqs1 = numbered(mine, route1, stop1, len(stops1))
             lon1, lat1, point1, cell1 = placed(mine)
             best, code = np.full(len(routes1) * len(routes2), np.inf), np.full(len(routes1) * len(routes2), np.iinfo(np.int64).max)
             starts, sizes = [], []
@@ -119,24 +131,30 @@ def _shortest_walks(batches, walk_m: float):
             found = np.flatnonzero(np.isfinite(best))
             for k in range(0, len(found), 100_000):
                 part = found[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        routes1.take(pa.array(part // len(routes2))), routes2.take(pa.array(part % len(routes2))), stops1.take(pa.array(code[part] // len(stops2))),
-                        stops2.take(pa.array(code[part] % len(stops2))), pa.array(np.rint(best[part]).astype(np.int64)),
-                    ],
-                    names=["r1", "r2", "from_stop", "to_stop", "walk_m"],
-                )
+                r1, r2, s1, s2 = part // len(routes2), part % len(routes2), code[part] // len(stops2), code[part] % len(stops2)
+                out = {
+                    "r1": routes1.take(pa.array(r1)), "r2": routes2.take(pa.array(r2)), "from_stop": stops1.take(pa.array(s1)),
+                    "to_stop": stops2.take(pa.array(s2)), "walk_m": pa.array(np.rint(best[part]).astype(np.int64)),
+                }
+                if seqs1:
+                    for name, (codes, seq), of in (("off_seq", seqs1, r1 * len(stops1) + s1), ("on_seq", seqs2, r2 * len(stops2) + s2)):
+                        out[name] = pa.array(seq[np.searchsorted(codes, of)])
+                yield pa.RecordBatch.from_pydict(out)
 
 
 def transfer_points(
-    route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy(), leaving: DataFrame | None = None, joining: DataFrame | None = None
+    route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy(), leaving: DataFrame | None = None, joining: DataFrame | None = None, seqs: bool = False
 ) -> DataFrame:
     """For each ordered pair of routes the shortest walk between their stops (ties: stop ids), in whole metres.
 
     ``leaving`` and ``joining`` (``route_id``) name the first and second routes that are asked for; all without them.
+    With ``seqs`` also the last ``stop_seq`` of the first route's stop (``off_seq``) and the first of the second's (``on_seq``).
     """
-    served = route_stops.select("route_id", "stop_id").distinct()
-    one, two = (served if asked is None else served.join(asked, "route_id", "left_semi") for asked in (leaving, joining))
+    served = route_stops.select("route_id", "stop_id").distinct() if not seqs else None
+    # a stop without a number can be neither left nor joined
+    numbered = lambda f, none: route_stops.groupBy("route_id", "stop_id").agg(F.coalesce(f(F.col("stop_seq").cast("long")), F.lit(none)).alias("seq"))
+    sides = ((numbered(F.max, -(2**62)), leaving), (numbered(F.min, 2**62), joining)) if seqs else ((served, leaving), (served, joining))
+    one, two = (side if asked is None else side.join(asked, "route_id", "left_semi") for side, asked in sides)
     at = stops.where("lon IS NOT NULL AND lat IS NOT NULL").select("stop_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
     one, two = (checkpointed(side.join(at.hint("merge"), "stop_id").where("route_id IS NOT NULL")) for side in (one, two))
     n, m = one.count(), two.count()
@@ -144,11 +162,12 @@ def transfer_points(
     lefts, rights = max(1, min(-(-n // (BLOCK_STOPS // 4)), max(8, -(-n // BLOCK_STOPS)))), max(1, -(-m // BLOCK_STOPS))
     block = lambda k: F.pmod(F.xxhash64("route_id"), F.lit(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    one = one.withColumn("other", every(rights)).select((block(lefts) * rights + F.col("other")).alias("block"), F.lit(1).alias("side"), "route_id", "stop_id", "lon", "lat")
-    two = two.withColumn("other", every(lefts)).select((F.col("other") * rights + block(rights)).alias("block"), F.lit(0).alias("side"), "route_id", "stop_id", "lon", "lat")
+    columns = ["route_id", "stop_id", "lon", "lat"] + ["seq"] * seqs
+    one = one.withColumn("other", every(rights)).select((block(lefts) * rights + F.col("other")).alias("block"), F.lit(1).alias("side"), *columns)
+    two = two.withColumn("other", every(lefts)).select((F.col("other") * rights + block(rights)).alias("block"), F.lit(0).alias("side"), *columns)
     kinds = dict(one.dtypes)
     rows = one.union(two).repartition("block").sortWithinPartitions("block", "side", "route_id")
-    schema = f"r1 {kinds['route_id']}, r2 {kinds['route_id']}, from_stop {kinds['stop_id']}, to_stop {kinds['stop_id']}, walk_m long"
+    schema = f"r1 {kinds['route_id']}, r2 {kinds['route_id']}, from_stop {kinds['stop_id']}, to_stop {kinds['stop_id']}, walk_m long" + ", off_seq long, on_seq long" * seqs
     walk_m = policy.walk_m
     return rows.mapInArrow(lambda batches: _shortest_walks(batches, walk_m), schema)
 
@@ -176,18 +195,43 @@ def indirect(pairs: DataFrame, service: DataFrame) -> DataFrame:
     return pairs.join(same.select("origin", "dest").distinct(), ["origin", "dest"], "left_anti")
 
 
-def itineraries(left: DataFrame, service: DataFrame, transfers: DataFrame, route_stops: DataFrame) -> DataFrame:
+#: Rows of a side that may be broadcast, so that walks stay where they are formed.
+MOST_BROADCAST = 300_000
+
+
+def _near(side: DataFrame) -> DataFrame:
+    """``side``, written, and broadcast while its counted number is bounded."""
+    side = checkpointed(side)
+    return F.broadcast(side) if side.count() <= MOST_BROADCAST else side.hint("merge")
+
+
+def _halves(left: DataFrame, service: DataFrame, walks: DataFrame, leaving: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs with each route at their origin, and walks with each cell that the second route still reaches."""
+    o, d = _ends(service)
+    o = o if leaving is None else o.join(leaving.select(F.col("route_id").alias("r1")), "r1", "left_semi")
+    d = d.join(left.select("dest").distinct(), "dest", "left_semi")
+    return left.join(o, "origin"), walks.select("r1", "r2", "off_seq", "on_seq").join(_near(d), "r2").where("on_seq < leave_seq").select("r1", "r2", "off_seq", "dest")
+
+
+def count_itineraries(left: DataFrame, service: DataFrame, walks: DataFrame, leaving: DataFrame) -> DataFrame:
+    """``origin, dest, n`` of pairs with feasible itineraries, which are counted by first route, stop and destination and never formed.
+
+    ``leaving``: ``route_id`` of the first routes of ``walks``; pairs meet no others.
+    """
+    boarded, ways = _halves(left, service, walks, leaving)
+    ways = ways.groupBy("r1", "dest", "off_seq").agg(F.count(F.lit(1)).alias("ways"))
+    rows = boarded.hint("merge").join(ways, ["r1", "dest"]).where("off_seq > board_seq")
+    return rows.groupBy("origin", "dest").agg(F.sum("ways").alias("n"))
+
+
+def itineraries(left: DataFrame, service: DataFrame, walks: DataFrame) -> DataFrame:
     """Feasible one-transfer itineraries of ``left``, the cell pairs that no route serves directly (``indirect``).
 
-    ``transfers``: ``r1, r2, from_stop, to_stop``. The rider leaves the first route after boarding
+    ``walks``: ``r1, r2, off_seq, on_seq``. The rider leaves the first route after boarding
     it and joins the second before leaving it.
     """
-    o, d = _ends(service)
-    rows = left.join(o, "origin").join(transfers, "r1").join(d, ["dest", "r2"])
-    off = route_stops.groupBy(F.col("route_id").alias("r1"), F.col("stop_id").alias("from_stop")).agg(F.max("stop_seq").alias("off_seq"))
-    on = route_stops.groupBy(F.col("route_id").alias("r2"), F.col("stop_id").alias("to_stop")).agg(F.min("stop_seq").alias("on_seq"))
-    rows = rows.join(off, ["r1", "from_stop"]).join(on, ["r2", "to_stop"])
-    return rows.where("off_seq > board_seq AND on_seq < leave_seq").select("origin", "dest", "r1", "r2")
+    boarded, ways = _halves(left, service, walks)
+    return ways.join(_near(boarded), ["r1", "dest"]).where("off_seq > board_seq").select("origin", "dest", "r1", "r2")
 
 
 def attribute(od: DataFrame, routes: DataFrame, policy: TransferPolicy = TransferPolicy()) -> DataFrame:
@@ -240,7 +284,7 @@ def ranking_page(ranking: DataFrame, routes: DataFrame, cells: DataFrame, hour:
 
 
 #: First routes, about so many, over which pairs with too many itineraries are told before all are tried.
-PART_ROUTES = (2, 64)
+PART_ROUTES = (2, 64, 512, 2048)
 
 
 def build_ranking(od: DataFrame, cells: DataFrame, route_stops: DataFrame, stops: DataFrame, policy: TransferPolicy = TransferPolicy()) -> DataFrame:
@@ -248,7 +292,8 @@ def build_ranking(od: DataFrame, cells: DataFrame, route_stops: DataFrame, stops
 
     Walks are sought only between routes that serve an origin and a destination which no route connects. A pair
     with more itineraries than allowed over a part of its first routes has too many over all of them, so growing
-    parts settle the pairs that many routes serve before the walks of all routes are formed for the others.
+    parts settle the pairs that many routes serve, by counts, before the walks of all routes are formed for the others.
+    Those walks are read where they are formed, and neither written nor dealt out while few pairs are left.
     """
     od, service = checkpointed(od), checkpointed(cell_service(cells, route_stops, stops, policy))
     left = checkpointed(indirect(od.select("origin", "dest").distinct(), service))
@@ -257,11 +302,11 @@ def build_ranking(od: DataFrame, cells: DataFrame, route_stops: DataFrame, stops
     for size in PART_ROUTES:
         if routes > 2 * size:
             leaving = serving("origin").where(F.pmod(F.xxhash64("route_id"), F.lit(routes // size)) == 0)
-            points = checkpointed(transfer_points(route_stops, stops, policy, leaving, serving("dest")).select("r1", "r2", "from_stop", "to_stop"))
-            many = itineraries(left, service, points, route_stops).groupBy("origin", "dest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > policy.max_alternatives)
+            walks = transfer_points(route_stops, stops, policy, leaving, serving("dest"), seqs=True)
+            many = count_itineraries(left, service, walks, leaving).where(F.col("n") > policy.max_alternatives)
             left = checkpointed(left.join(many, ["origin", "dest"], "left_anti"))
-    points = checkpointed(transfer_points(route_stops, stops, policy, serving("origin"), serving("dest")).select("r1", "r2", "from_stop", "to_stop"))
-    found = itineraries(left, service, points, route_stops)
+    walks = transfer_points(route_stops, stops, policy, serving("origin"), serving("dest"), seqs=True)
+    found = itineraries(left, service, walks)
     return rank_transfers(attribute(od, found, policy))
 
 
