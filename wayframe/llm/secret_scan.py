@@ -47,7 +47,8 @@ NAMED_ID = re.compile(r"\b(?:access_key_id|client_id|account_id|key_id|user_?nam
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 ADDRESS = re.compile(r"https?://[^\s\"'<>]+")
 PORT = re.compile(r":[0-9]{2,5}\b")
-HOST = frozenset(string.ascii_letters + string.digits + ".-")
+LABEL = frozenset(string.ascii_letters + string.digits + "-")
+HOST = LABEL | {"."}
 HOST_NAME = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
 Span = tuple[int, int, str]
@@ -124,11 +125,17 @@ def endpoints(text: str) -> list[tuple[int, int]]:
     inside, last = _Intervals(out), 0
     for m in PORT.finditer(text):
         start = _back(text, m.start(), last, HOST)
+        if start and text[start - 1] in LABEL:  # the rest of a label that an earlier host took begins no host
+            start = text.find(".", start, m.start())
+            if start < 0:
+                continue
+        start = max(start, text.rfind("..", start, m.start()) + 2) if ".." in text[start : m.start()] else start
         while start < m.start() and text[start] == ".":
             start += 1
-        last = m.end()
-        if HOST_NAME.fullmatch(text, start, m.start()) and not inside.meets(start, m.end()):
-            out.append((start, m.end()))
+        if HOST_NAME.fullmatch(text, start, m.start()):
+            last = m.end()
+            if not inside.meets(start, m.end()):
+                out.append((start, m.end()))
     return sorted(out)
 
 
